@@ -19,25 +19,36 @@ SYMBOLS = "#*$%&|<>"
 SYMBOL = "[#*$%&|<>]"
 #: Rules of a line: separators of navigation, and Java regular expressions, all of linear time.
 SEPARATORS = [" | ", " » ", " › ", " · "]
-BOILERPLATE = r"(?i)\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie|javascript|lorem ipsum|click here|sign (?:in|up)|log ?in|subscribe to|share on (?:facebook|twitter))\b"
+BOILERPLATE = ["all rights reserved", "terms of use", "privacy policy", "cookie", "javascript", "lorem ipsum", "click here", "subscribe to"]
 ENDS = r"""[.!?…:;。！？]["'”’»)\]]*[\x20\x09-\x0D]*\z"""
 SHOUTING = r"\A[^\p{Ll}]*\z"
 MIN_WORDS, MAX_REPEAT, MAX_LOST = 50, 50, 50
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPLIT), lambda w: w != "")
+    """Words between white space; other white space than spaces is made spaces first, as splitting by one character is fast."""
+    plain = F.replace(text, F.lit("\n"), F.lit(" "))
+    rare = "[\\x09\\x0B-\\x0D]"
+    return F.filter(F.split(F.when(plain.rlike(rare), F.regexp_replace(plain, rare, " ")).otherwise(plain), " "), lambda w: w != "")
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line with a word is removed."""
+def phrase_in(text: Column) -> Column:
+    low, found = F.lower(text), F.lit(False)
+    for x in BOILERPLATE:
+        found = found | low.contains(x)
+    return found
+
+
+def line_fails(line: Column, phrases: Column) -> Column:
+    """Whether a line with a word is removed; phrases: whether the text holds a boilerplate phrase at all."""
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     navigation = F.lit(False)
     for x in SEPARATORS:
         navigation = navigation | (line.contains(x) & (F.length(line) - F.length(F.replace(line, F.lit(x), F.lit(""))) >= 3 * len(x)))
     # The cheap halves come first: what follows an "and" is worked out for few lines only.
-    return ~line.rlike(ENDS) | (line.rlike(SYMBOL) & (symbols * 20 > F.length(line))) | navigation | (line.rlike(SHOUTING) & (letters >= 20)) | line.rlike(BOILERPLATE)
+    ends = line.endswith(".") | line.endswith("!") | line.endswith("?") | line.rlike(ENDS)
+    return ~ends | (line.rlike(SYMBOL) & (symbols * 20 > F.length(line))) | navigation | (line.rlike(SHOUTING) & (letters >= 20)) | (phrases & phrase_in(line))
 
 
 def quality(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
@@ -45,15 +56,14 @@ def quality(docs: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     t = t.withColumn("w", words_of(F.col("text")))
     # Hashes of the 3-word windows with their places, sorted: repeated windows are neighbours.
-    t = t.withColumn("n_words", F.size("w").cast("long")).withColumn(
-        "h", F.expr("case when n_words >= 3 then transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) else array() end")
-    )
+    t = t.withColumn("n_words", F.size("w").cast("long")).withColumn("k", F.transform("w", lambda x: F.xxhash64(x)))
+    t = t.withColumn("h", F.expr("case when n_words >= 3 then transform(sequence(0, size(k) - 3), i -> xxhash64(k[i], k[i + 1], k[i + 2])) else array() end"))
     t = t.withColumn("s", F.expr("case when size(array_distinct(h)) < size(h) then sort_array(transform(h, (x, i) -> struct(x as x, i as i))) else array() end"))
     near = "filter(s, (e, k) -> coalesce(get(s, k - 1).x = e.x, false) or coalesce(get(s, k + 1).x = e.x, false))"
     t = t.withColumn("n_repeat_words", F.expr(f"size(array_distinct(flatten(transform({near}, e -> array(e.i, e.i + 1, e.i + 2)))))").cast("long"))
     t = t.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    t = t.withColumn("fresh", F.array_distinct("lines"))
-    t = t.withColumn("good", F.filter("fresh", lambda x: ~line_fails(x)))
+    t = t.withColumn("fresh", F.array_distinct("lines")).withColumn("phrases", phrase_in(F.col("text")))
+    t = t.withColumn("good", F.filter("fresh", lambda x: ~line_fails(x, F.col("phrases"))))
     t = t.withColumn("word_chars", F.expr("aggregate(w, 0L, (n, x) -> n + length(x))")).withColumn("clean_text", F.array_join("good", "\n"))
     bare = F.length(F.regexp_replace("clean_text", SPLIT, "")).cast("long")
     t = t.withColumn("left_chars", F.when(F.size("good") == F.size("lines"), F.col("word_chars")).otherwise(bare))

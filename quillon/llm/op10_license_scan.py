@@ -3,7 +3,9 @@
 Each line of a text, each paragraph and the text as a whole are normalised (lower case, words of
 letters, digits and dots) and compared with templates by the Dice coefficient over their distinct word
 bigrams. Two sets of sizes a and b reach a coefficient t only if the smaller is at least t / (2 - t)
-times the larger: templates outside these bounds are never compared.
+times the larger: templates outside these bounds are never compared. Such a match also shares that part
+of the template's bigrams, and so holds one of the template's anchor words: segments without one are
+not split into words.
 
 Defined results: one row per document with the best match of coefficient min_dice or more (ties: the
 template named first), else null licence and score 0. A null text has no
@@ -13,6 +15,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,23 +52,44 @@ def bigrams(w: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.xxhash64(a, b)))
 
 
-def template_bigrams(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[int]]]:
-    """Bigrams of the templates, made by the same expressions as those of texts."""
+def template_words(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple[str, list[str], list[int]]]:
+    """Name, words and bigrams of the templates, made by the same expressions as those of texts."""
     rows = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(templates)], "i int, k string, v string")
     rows = rows.withColumn("w", words(F.col("v"))).where("size(w) > 1")
-    return [(r["k"], r["g"]) for r in rows.select("i", "k", bigrams(F.col("w")).alias("g")).orderBy("i").collect()]
+    return [(r["k"], r["w"], r["g"]) for r in rows.select("i", "k", "w", bigrams(F.col("w")).alias("g")).orderBy("i").collect()]
+
+
+def anchors(w: list[str], ratio: float) -> set[str]:
+    """Words of which every match holds one.
+
+    A match shares at least ratio of the template's bigrams; the longest words are taken until fewer
+    bigrams than that are free of them.
+    """
+    pairs, out = set(zip(w, w[1:], strict=False)), set()
+    free = len(pairs)
+    for x in sorted(set(w), key=lambda x: (-len(x), x)):
+        if free < ratio * len(pairs):
+            break
+        out.add(x)
+        free = sum(a not in out and b not in out for a, b in pairs)
+    return out
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_dice: float = MIN_DICE) -> DataFrame:
-    """One row per document: doc_id, n_segments, n_compared (within the size bounds), license, score."""
-    known = template_bigrams(docs.sparkSession, templates)
+    """One row per document: doc_id, n_segments, n_compared (that can match a template at all), license, score."""
+    known = template_words(docs.sparkSession, templates)
     ratio = min_dice / (2 - min_dice)
-    lo, hi = min(len(g) for _, g in known) * ratio, max(len(g) for _, g in known) / ratio
+    lo, hi = min(len(g) for _, _, g in known) * ratio, max(len(g) for _, _, g in known) / ratio
+    # Not "\\b" but what words are made of: a word starts after any other character.
+    anchor = "(?<![\\p{L}\\p{N}])(?:" + "|".join(sorted({re.sub(r"([.\\])", r"\\\1", x) for _, w, _ in known for x in anchors(w, ratio)})) + ")"
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = F.when(F.col("text").contains("\n"), F.array("text")).otherwise(F.array().cast("array<string>"))
-    paragraphs = F.when(F.col("text").contains("\n\n"), F.split("text", "\n\n+")).otherwise(F.array().cast("array<string>"))
-    t = t.withColumn("segments", F.filter(F.array_distinct(F.concat(F.split("text", "\n"), paragraphs, whole)), lambda x: x != ""))
-    t = t.withColumn("words", F.filter(F.transform("segments", words), lambda w: F.size(w) - 1 >= lo))
+    none = F.array().cast("array<string>")
+    t = t.withColumn("able", F.lower("text").rlike(anchor)).withColumn("segments", F.split("text", "\n"))
+    lines = F.when(F.col("able"), F.filter(F.array_distinct("segments"), lambda x: F.lower(x).rlike(anchor))).otherwise(none)
+    more = F.when(F.col("able") & F.col("text").contains("\n"), F.concat(F.array("text"), F.when(F.col("text").contains("\n\n"), F.split("text", "\n\n+")).otherwise(none))).otherwise(none)
+    t = t.withColumn("near", F.array_distinct(F.concat(lines, more)))
+    # A text of d distinct words has d - 1 distinct bigrams or more, and fewer than it has words.
+    t = t.withColumn("words", F.filter(F.transform("near", words), lambda w: (F.size(w) - 1 >= lo) & (F.size(F.array_distinct(w)) - 1 <= hi)))
     t = t.withColumn("grams", F.filter(F.transform("words", bigrams), lambda g: (F.size(g) >= lo) & (F.size(g) <= hi)))
 
     def best(mine: list[int]) -> Column:
@@ -72,7 +97,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_dice
         able = F.filter("grams", lambda g: (F.size(g) >= n * ratio) & (F.size(g) <= n / ratio))
         return F.array_max(F.transform(able, lambda g: 2.0 * F.size(F.array_intersect(g, own)) / (F.size(g) + n)))
 
-    tops = [F.struct(F.coalesce(best(g), F.lit(0.0)).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("license")) for i, (k, g) in enumerate(known)]
+    tops = [F.struct(F.coalesce(best(g), F.lit(0.0)).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("license")) for i, (k, _, g) in enumerate(known)]
     t = t.withColumn("best", F.when(F.size("grams") > 0, F.array_max(F.array(*tops))))
     hit = F.col("best.score") >= min_dice
     return t.select("doc_id", F.size("segments").cast("long").alias("n_segments"), F.size("grams").cast("long").alias("n_compared"), F.when(hit, F.col("best.license")).alias("license"), F.when(hit, F.col("best.score")).otherwise(0.0).alias("score"))
