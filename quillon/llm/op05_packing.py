@@ -57,10 +57,11 @@ def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float
     return float(best[top + capacity]), pattern
 
 
-def solve(lengths: list[int], counts: list[int], capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+def solve(lengths: list[int], counts: list[int], capacity: int, rounds: int = 300, gap: float = 1e-3) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used, covering counts exactly.
 
-    Revised simplex for min sum(x), A x = counts, starting from one pattern per class.
+    Revised simplex for min sum(x), A x = counts, starting from one pattern per class. A best pattern of
+    value v bounds the optimum from below by the present cost / v: it ends when that is within gap.
     """
     if not lengths:
         return []
@@ -72,7 +73,7 @@ def solve(lengths: list[int], counts: list[int], capacity: int, rounds: int = 40
         a = np.array(basis, float).T
         dual = np.linalg.solve(a.T, np.ones(m))
         value, column = price(size, dual, capacity)
-        if value <= 1 + 1e-9:
+        if value <= 1 + gap:
             break
         x, d = np.linalg.solve(a, demand), np.linalg.solve(a, column.astype(float))
         ratio = np.where(d > 1e-9, np.maximum(x, 0) / np.where(d > 1e-9, d, 1), np.inf)
