@@ -77,17 +77,25 @@ class LanguageModel:
         return out
 
 
-def fit(spectra: np.ndarray, labels: list[str]) -> LanguageModel:
-    """spectra: documents x SLOTS of 0 and 1. Nystrom landmarks, ridge regression on +1 and -1."""
+def fit(bits: list[bytes], labels: list[str]) -> LanguageModel:
+    """bits: packed presence of each document. Nystrom landmarks, ridge regression on +1 and -1.
+
+    Spectra are unpacked in blocks: only those of the landmarks are held as a whole.
+    """
+
+    def rows(some: list[int]) -> np.ndarray:
+        x = np.array([np.unpackbits(np.frombuffer(bits[i], np.uint8)) for i in some], np.float32).reshape(len(some), SLOTS)
+        x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+        return x
+
     languages = sorted(set(labels))
-    x = spectra.astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
     labels_at = np.array([languages.index(v) for v in labels])
     marks = np.concatenate([np.flatnonzero(labels_at == k)[: max(2, LANDMARKS // len(languages))] for k in range(len(languages))])
-    m = x[marks]
-    k_nm, k_mm = (x @ m.T).astype(float), (m @ m.T).astype(float)
+    m = rows(marks.tolist())
+    k_nm = np.concatenate([rows(list(range(i, min(i + 64, len(bits))))) @ m.T for i in range(0, len(bits), 64)]).astype(float)
+    k_mm = (m @ m.T).astype(float)
     y = np.where(labels_at[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    alpha = np.linalg.solve(k_nm.T @ k_nm + RIDGE * len(x) * k_mm + 1e-8 * np.eye(len(marks)), k_nm.T @ y)
+    alpha = np.linalg.solve(k_nm.T @ k_nm + RIDGE * len(bits) * k_mm + 1e-8 * np.eye(len(marks)), k_nm.T @ y)
     return LanguageModel(languages, (m.T @ alpha.astype(np.float32)).astype(np.float32))
 
 
@@ -116,7 +124,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel | None
     got = sorted(map(tuple, picked.mapInArrow(spectra, "doc_id long, lang string, bits binary").collect()))
     if not got:
         return None
-    return fit(np.array([np.unpackbits(np.frombuffer(bits, np.uint8)) for _, _, bits in got]), [lang for _, lang, _ in got])
+    return fit([bits for _, _, bits in got], [lang for _, lang, _ in got])
 
 
 def predict_batch(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
