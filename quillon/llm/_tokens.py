@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Entries of each of the cache's two generations.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 #: Strings longer than this are encoded, not kept.
 KEEP_LENGTH = 200
 END = b"\xff"  # stands for the end of a word: no byte of UTF-8

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillon.llm._common import small_batches
 
 #: Entries of each of the cache's two generations, and of the pairs of pieces.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 SPACE = "▁"
 RUNS = re.compile(r"▁?[^\W\d_]+|.", re.DOTALL)
 #: Kinds of pieces and of models in the file; fixed values of the format.
