@@ -8,9 +8,10 @@ the probability of their Jaccard similarity, and the share of agreeing coordinat
 about it. Bands of ROWS coordinates give candidates; every link is confirmed on the full sets.
 
 Copies of one set form a class, of which one document goes on. In each bucket of a band, every member
-is compared with one leader; members that stay apart from it are compared with a second leader, and
-what is still in another component than other members of its bucket is compared with all of those.
-So a bucket of very many near copies costs one comparison per member and loses no link.
+is compared with one leader, the member that meets most others; members that stay apart from it are
+compared with a leader among themselves, and so on while that finds links. So a bucket of very many
+near copies costs a comparison per member. For members that are still in another component than others
+of their bucket, an exact prefix filter over their full sets gives the pairs that can be links at all.
 
 Defined results: null text is empty text; a document without words has no shingle and no link. Rows
 that repeat a doc_id count as one document and give one row. A null doc_id gives a row with its own
@@ -32,6 +33,8 @@ from quillon.llm._common import components, join_ids, small_batches, stage
 #: 26 bands of 5 rows: a pair of similarity 0.85 shares no band with probability 2.4e-7, one of 0.5 shares one with 0.56.
 BANDS, ROWS = 26, 5
 T = BANDS * ROWS
+#: Rounds of comparing members with a leader, at most; they end early when one finds little.
+STARS = 5
 _U = np.uint64
 _FILL = np.iinfo(np.uint64).max
 
@@ -137,6 +140,39 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def shingle_sets(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """members (doc_id, own, few) with their full sets as arrays h."""
+    small_batches(texts.sparkSession)
+
+    def run(batches):
+        shingler = Shingler()
+        for b in batches:
+            h = pa.array([shingler(t).view(np.int64) for t in b["text"].to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["own"], b["few"], h], names=["doc_id", "own", "few", "h"])
+
+    rows = members.join(texts, "doc_id").select("doc_id", "own", "few", "text")
+    return rows.mapInArrow(run, "doc_id long, own long, few boolean, h array<long>")
+
+
+def by_prefix(sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components, one of them few, without loss.
+
+    Sets of the wanted similarity share at least percent of either; so, with all shingles in one order,
+    the first n - ceil(percent n / 100) + 1 of both have one in common. The order is by rarity: what
+    many documents share comes last, and is joined on by none of them unless they hold little else.
+    """
+    one = sets.select("doc_id", "own", "few", F.size("h").alias("n"), F.explode("h").alias("x"))
+    rare = one.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+    # A shingle of one document only comes first and joins nothing: it is counted, not carried.
+    kept = one.join(rare, "x").groupBy("doc_id", "own", "few", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
+    kept = kept.withColumn("p", F.expr(f"n - cast((n * {percent} + 99) div 100 as int) + 1 - (n - size(s))")).where("p > 0")
+    first = stage(kept.select("doc_id", "own", "few", "n", F.explode(F.slice("s", 1, F.col("p"))).alias("e")).select("doc_id", "own", "few", "n", F.col("e.x").alias("x")))
+    other = first.select(F.col("doc_id").alias("y"), F.col("own").alias("yo"), F.col("n").alias("m"), "x")
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    pairs = first.where("few").join(other, "x").where((F.col("own") != F.col("yo")) & fits)
+    return pairs.select(F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     sk = stage(sketches(docs))
@@ -144,8 +180,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = stage(named.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     exploded = reps.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    heads = exploded.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("c")).where("c > 1")
-    buckets = stage(exploded.join(heads, ["band", "key"]).select("band", "key", "doc_id", "n", "leader"))
+    shared = exploded.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1")
+    buckets = stage(exploded.join(shared, ["band", "key"]).select("band", "key", "doc_id", "n", "c"))
+    # The leader of a bucket is the member that meets most others: of near copies, the one they were made from.
+    met = buckets.groupBy("doc_id").agg(F.sum("c").alias("met"))
+    ranked = buckets.join(met, "doc_id").withColumn("rank", F.struct("met", -F.col("doc_id")))
+    heads = ranked.groupBy("band", "key").agg((-F.max("rank")["col2"]).alias("leader"))
+    buckets = stage(ranked.join(heads, ["band", "key"]).select("band", "key", "doc_id", "n", "leader", "rank"))
     wanted = buckets.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = stage(join_ids(texts, stage(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -156,27 +197,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
         return pairs.distinct().join(sizes, "a").join(other, "b").where(fits).select("a", "b")
 
-    first = close(buckets.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")))
-    links = stage(confirmed(first, texts, percent))
-    labels = stage(components(links))
-    # Members that are in another component than their leader: a second leader, then all that are still apart.
-    member = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("own", F.coalesce("component", "doc_id"))
-    head = labels.select(F.col("node").alias("leader"), F.col("component").alias("lc"))
-    apart = member.join(head, "leader", "left").where("own <> coalesce(lc, leader)")
-    second = stage(apart.select("band", "key", "doc_id", "leader", "own"))
-    heads = second.groupBy("band", "key").agg(F.max("doc_id").alias("leader2"))
-    pairs = second.join(heads, ["band", "key"]).where("doc_id <> leader2").select(F.least("leader2", "doc_id").alias("a"), F.greatest("leader2", "doc_id").alias("b"))
-    more = stage(confirmed(close(pairs), texts, percent))
-    if not more.isEmpty():
-        links = links.union(more)
+    def labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+        own = labels.select(F.col("node").alias(column), F.col("component").alias(name))
+        return rows.join(own, column, "left").withColumn(name, F.coalesce(name, column))
+
+    # Stars: members against their bucket's leader, those that stay apart against a leader of their own.
+    current, links = buckets, None
+    for _ in range(STARS):
+        pairs = current.where("doc_id <> leader").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b"))
+        new = stage(confirmed(close(pairs), texts, percent))
+        links = new if links is None else stage(links.union(new).distinct())
         labels = stage(components(links))
-    # A bucket whose members are in several components by now: each pair of members across components.
-    member = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("own", F.coalesce("component", "doc_id"))
-    mixed = member.groupBy("band", "key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2")
-    member = stage(member.join(mixed, ["band", "key"]).select("band", "key", "doc_id", "leader", "own"))
-    few = member.join(second.select("band", "key", "doc_id"), ["band", "key", "doc_id"], "left_semi").select("band", "key", F.col("doc_id").alias("x"), F.col("own").alias("xo"))
-    pairs = few.join(member, ["band", "key"]).where("xo <> own and doc_id <> leader").select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
-    more = stage(confirmed(close(pairs), texts, percent))
+        apart = labelled(labelled(current.drop("own", "lead"), labels, "doc_id", "own"), labels, "leader", "lead").where("own <> lead")
+        heads = apart.groupBy("band", "key").agg((-F.max("rank")["col2"]).alias("leader"))
+        current = stage(apart.drop("leader", "own", "lead").join(heads, ["band", "key"]))
+        if new.count() * 50 < current.select("doc_id").distinct().count():
+            break
+    # Pairs that no star has settled: one member at least isn't in the component of its bucket's first leader.
+    left = labelled(labelled(buckets, labels, "doc_id", "own"), labels, "leader", "lead")
+    mixed = left.groupBy("band", "key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2")
+    left = left.join(mixed, ["band", "key"]).groupBy("doc_id", "own").agg(F.max(F.col("own") != F.col("lead")).alias("few"))
+    more = stage(confirmed(by_prefix(stage(shingle_sets(texts, stage(left))), percent), texts, percent))
     if not more.isEmpty():
         labels = stage(components(links.union(more)))
     # Copies take the component of their class. A class's representative is its smallest doc_id.
