@@ -166,10 +166,14 @@ def by_prefix(sets: DataFrame, percent: int) -> DataFrame:
     # A shingle of one document only comes first and joins nothing: it is counted, not carried.
     kept = one.join(rare, "x").groupBy("doc_id", "own", "few", "n").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("s"))
     kept = kept.withColumn("p", F.expr(f"n - cast((n * {percent} + 99) div 100 as int) + 1 - (n - size(s))")).where("p > 0")
-    first = stage(kept.select("doc_id", "own", "few", "n", F.explode(F.slice("s", 1, F.col("p"))).alias("e")).select("doc_id", "own", "few", "n", F.col("e.x").alias("x")))
-    other = first.select(F.col("doc_id").alias("y"), F.col("own").alias("yo"), F.col("n").alias("m"), "x")
+    # left: how many shingles of the set stand at this place of the order or after it.
+    place = kept.select("doc_id", "own", "few", "n", F.size("s").alias("k"), F.posexplode(F.slice("s", 1, F.col("p"))).alias("i", "e"))
+    first = stage(place.select("doc_id", "own", "few", "n", F.col("e.x").alias("x"), (F.col("k") - F.col("i")).alias("left")))
+    other = first.select(F.col("doc_id").alias("y"), F.col("own").alias("yo"), F.col("n").alias("m"), "x", F.col("left").alias("yleft"))
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    pairs = first.where("few").join(other, "x").where((F.col("own") != F.col("yo")) & fits)
+    # The first shingle in common has all others in common after it, in both sets: enough must be left there.
+    enough = F.least("left", "yleft") * (100 + percent) >= percent * (F.col("n") + F.col("m"))
+    pairs = first.where("few").join(other, "x").where((F.col("own") != F.col("yo")) & fits & enough)
     return pairs.select(F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b")).distinct()
 
 
