@@ -108,7 +108,8 @@ def test_packing_plan_is_exact_and_tight():
         half = sum(n for x, n in histogram.items() if 2048 < x <= 4096 - k)
         volume = sum(x * n for x, n in histogram.items() if k <= x <= 4096 - k)
         sure.append(long + max(half, -(-volume // 4096)))
-    assert max(sure) <= used <= 1.01 * max(sure) + 2
+    # Rounding down costs at most one sequence per class.
+    assert max(sure) <= used <= 1.01 * max(sure) + len(histogram)
 
 
 def test_near_duplicates_equal_brute_force(spark):
