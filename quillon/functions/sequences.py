@@ -129,6 +129,6 @@ def ctc_beam(logp: list[list[float]], width: int = 8) -> list[int]:
 def no_repeat_argmax(scores: list[float], history: list[int], n: int) -> int:
     """The best id that completes no n-gram seen in history; the best of all if each does."""
     tail = tuple(history[len(history) - n + 1 :]) if n > 1 else ()
-    banned = {history[i + n - 1] for i in range(len(history) - n + 1) if tuple(history[i : i + n - 1]) == tail} if len(history) >= n else set()
+    banned = {history[i + n - 1] for i in range(len(history) - n + 1) if tuple(history[i : i + n - 1]) == tail} if len(history) >= n > 1 else set()
     order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
     return next((i for i in order if i not in banned), order[0])

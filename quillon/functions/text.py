@@ -13,6 +13,10 @@ O200K = (
     r"|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:'s|'t|'re|'ve|'m|'ll|'d)?"
     r"|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 )
+MINISTRAL = (
+    r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*"
+    r"|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+)
 CLIP = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
 PUNCT = r"!-/:-@\[-`{-~\p{P}"
@@ -40,6 +44,24 @@ def o200k_pretokens(text: Column) -> Column:
     return find_all(text, O200K)
 
 
+def ministral_pretokens(text: Column) -> Column:
+    return find_all(text, MINISTRAL)
+
+
+#: Bytes that aren't printable, and the code points from 256 on that stand for them in byte-level vocabularies.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTES, _SHOWN = "".join(map(chr, _HIDDEN)), "".join(chr(256 + i) for i in range(len(_HIDDEN)))
+
+
+def byte_alphabet(text: Column) -> Column:
+    """A printable character for each UTF-8 byte."""
+    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), _BYTES, _SHOWN)
+
+
+def bytes_back(text: Column) -> Column:
+    return F.decode(F.encode(F.translate(text, _SHOWN, _BYTES), "ISO-8859-1"), "UTF-8")
+
+
 def clip_pretokens(text: Column) -> Column:
     return find_all(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), CLIP)
 

@@ -38,4 +38,4 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_discount")])
 
 
-from quillon.plans import documents, evaluation, layout, text, vectors  # noqa: E402, F401
+from quillon.plans import decoding, documents, evaluation, layout, text, vectors  # noqa: E402, F401

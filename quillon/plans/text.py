@@ -31,6 +31,8 @@ _tokens("B15_gpt2_pretokens", T.gpt2_pretokens, r"regexp_extract_all(text, '''s|
 _tokens("B9_gpt4_pretokens", T.gpt4_pretokens, r"regexp_extract_all(text, '(?i:''s|''t|''re|''ve|''m|''ll|''d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+')")
 _tokens("B10_qwen_pretokens", lambda t: T.gpt4_pretokens(t, 1), r"regexp_extract_all(text, '(?i:''s|''t|''re|''ve|''m|''ll|''d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+')")
 _tokens("B13_o200k_pretokens", T.o200k_pretokens, r"regexp_extract_all(text, '[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:''s|''t|''re|''ve|''m|''ll|''d)?|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:''s|''t|''re|''ve|''m|''ll|''d)?|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+')")
+_tokens("B11_lfm2_pretokens", T.gpt4_pretokens, r"regexp_extract_all(text, '(?i:''s|''t|''re|''ve|''m|''ll|''d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+')")
+_tokens("B14_ministral_pretokens", T.ministral_pretokens, r"regexp_extract_all(text, '[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+')")
 _tokens("B32_gliner_words", T.gliner_words, r"regexp_extract_all(text, '[0-9A-Za-z_\x{80}-\x{10FFFF}]+(?:[-_][0-9A-Za-z_\x{80}-\x{10FFFF}]+)*|\S')")
 
 
