@@ -177,6 +177,12 @@ def by_prefix(sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("doc_id", "y").alias("a"), F.greatest("doc_id", "y").alias("b")).distinct()
 
 
+def leaders(members: DataFrame) -> DataFrame:
+    """The leader of each bucket, its highest rank (met, minus_id, n), with the size of its set."""
+    top = F.max("rank")
+    return members.groupBy("band", "key").agg((-top["minus_id"]).alias("leader"), top["n"].alias("leader_n"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     sk = stage(sketches(docs))
@@ -188,18 +194,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     buckets = stage(exploded.join(shared, ["band", "key"]).select("band", "key", "doc_id", "n", "c"))
     # The leader of a bucket is the member that meets most others: of near copies, the one they were made from.
     met = buckets.groupBy("doc_id").agg(F.sum("c").alias("met"))
-    ranked = buckets.join(met, "doc_id").withColumn("rank", F.struct("met", -F.col("doc_id")))
-    heads = ranked.groupBy("band", "key").agg((-F.max("rank")["col2"]).alias("leader"))
-    buckets = stage(ranked.join(heads, ["band", "key"]).select("band", "key", "doc_id", "n", "leader", "rank"))
+    ranked = buckets.join(met, "doc_id").withColumn("rank", F.struct("met", (-F.col("doc_id")).alias("minus_id"), "n"))
+    buckets = stage(ranked.join(leaders(ranked), ["band", "key"]).select("band", "key", "doc_id", "n", "leader", "leader_n", "rank"))
     wanted = buckets.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = stage(join_ids(texts, stage(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    sizes = buckets.select(F.col("doc_id").alias("a"), F.col("n").alias("na")).distinct()
-
-    def close(pairs: DataFrame) -> DataFrame:  # pairs that their sizes allow
-        other = sizes.select(F.col("a").alias("b"), F.col("na").alias("nb"))
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-        return pairs.distinct().join(sizes, "a").join(other, "b").where(fits).select("a", "b")
+    fits = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent  # sizes allow a link
 
     def labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
         own = labels.select(F.col("node").alias(column), F.col("component").alias(name))
@@ -208,13 +208,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Stars: members against their bucket's leader, those that stay apart against a leader of their own.
     current, links = buckets, None
     for _ in range(STARS):
-        pairs = current.where("doc_id <> leader").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b"))
-        new = stage(confirmed(close(pairs), texts, percent))
+        pairs = current.where((F.col("doc_id") != F.col("leader")) & fits).select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b"))
+        new = stage(confirmed(pairs.distinct(), texts, percent))
         links = new if links is None else stage(links.union(new).distinct())
         labels = stage(components(links))
         apart = labelled(labelled(current.drop("own", "lead"), labels, "doc_id", "own"), labels, "leader", "lead").where("own <> lead")
-        heads = apart.groupBy("band", "key").agg((-F.max("rank")["col2"]).alias("leader"))
-        current = stage(apart.drop("leader", "own", "lead").join(heads, ["band", "key"]))
+        current = stage(apart.drop("leader", "leader_n", "own", "lead").join(leaders(apart), ["band", "key"]))
         if new.count() * 50 < current.select("doc_id").distinct().count():
             break
     # Pairs that no star has settled: one member at least isn't in the component of its bucket's first leader.
