@@ -110,10 +110,10 @@ def strip_markup(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_markup(F.col("html"))).alias("digest"))
 
 
-@query("K17_outcome", "select l_orderkey, l_linenumber, case when l_returnflag = 'N' then 'unavailable' when l_linestatus = 'O' and l_discount > 0.09 then 'error' else 'neutral' end as outcome from lineitem where l_orderkey % 20 = 0")
+@query("K17_outcome", "select l_orderkey, l_linenumber, case when l_returnflag = 'N' then 'unavailable' when l_linestatus = 'O' and l_discount > 0.09 then 'error' else 'neutral' end as outcome from lineitem")
 def outcome(spark, sf_dir):
     label = F.when(F.col("l_returnflag") == "N", "unavailable").when((F.col("l_linestatus") == "O") & (F.col("l_discount") > 0.09), "error").otherwise("neutral")
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", label.alias("outcome"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", label.alias("outcome"))
 
 
 @query("K18_split", "select role, count(*) as n, sum((conv_id % 5 = 0)::int)::bigint as held from conversations group by role")

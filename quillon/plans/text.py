@@ -60,10 +60,10 @@ def pair_truncation(spark, sf_dir):
     return a.join(b, "doc_id").select("doc_id", x.cast("long").alias("left_a"), y.cast("long").alias("left_b"))
 
 
-@query("B29_tokenizer_family", "select l_orderkey, l_linenumber, case when l_quantity < 5 then 0 when l_returnflag = 'A' then 1 when l_partkey > 100 then 2 else 0 end as family from lineitem where l_orderkey % 50 = 0")
+@query("B29_tokenizer_family", "select l_orderkey, l_linenumber, case when l_quantity < 5 then 0 when l_returnflag = 'A' then 1 when l_partkey > 100 then 2 else 0 end as family from lineitem")
 def tokenizer_family(spark, sf_dir):
     """Declared type, else the model's name, else the vocabulary's size."""
-    t = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
+    t = table(spark, sf_dir, "lineitem")
     family = F.when(F.col("l_quantity") < 5, 0).when(F.col("l_returnflag") == "A", 1).when(F.col("l_partkey") > 100, 2).otherwise(0)
     return t.select("l_orderkey", "l_linenumber", family.alias("family"))
 
