@@ -56,14 +56,15 @@ def language_check(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("ql").agg((same > other).alias("ok"), (other < 0.95).alias("apart"))
 
 
-_HEADS = "with t as (select a.doc_id, substr(a.text, 1, 120) as h, substr(b.text, 1, 120) as r from documents a join documents b on b.doc_id = a.doc_id + 1)"
+_HEADS = "with t as (select a.conv_id * 1000 + a.turn as doc_id, a.text as h, b.text as r from conversations a join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1)"
 
 
-def text_pairs(spark, sf_dir, n: int = 120):
-    """Neighbouring documents' headlines (n characters) stand in for recognised and true lines of pages."""
-    a = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, n).alias("h"))
-    b = table(spark, sf_dir, "documents").select((F.col("doc_id") - 1).alias("doc_id"), F.substring("text", 1, n).alias("r"))
-    return a.join(b, "doc_id")
+def text_pairs(spark, sf_dir):
+    """A turn and the next one of its conversation, whole texts, stand in for recognised and true lines; doc_id numbers the turns."""
+    t = table(spark, sf_dir, "conversations")
+    a = t.select("conv_id", "turn", F.col("text").alias("h"))
+    b = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("r"))
+    return a.join(b, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "h", "r")
 
 
 @query("K1_levenshtein", f"{_HEADS} select doc_id, levenshtein(lower(h), lower(r))::int as d from t where regexp_matches(h || r, '^[\\x00-\\x7F]*$')")
@@ -102,7 +103,7 @@ def text_delta(spark, sf_dir):
 
 @query("K7_garbage")
 def garbage(spark, sf_dir):
-    return text_pairs(spark, sf_dir, 400).select("doc_id", T.garbage(F.col("h")).alias("garbage"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.garbage(F.col("text")).alias("garbage"))
 
 
 @query("K15_strip_markup", r"select page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\s#*|$]+', ' ', 'g'))) as digest from pages")
