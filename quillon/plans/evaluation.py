@@ -103,7 +103,7 @@ def text_delta(spark, sf_dir):
 
 @query("K7_garbage")
 def garbage(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.garbage(F.col("text")).alias("garbage"))
+    return text_pairs(spark, sf_dir).select("doc_id", T.garbage(F.col("h")).alias("garbage"))
 
 
 @query("K15_strip_markup", r"select page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\s#*|$]+', ' ', 'g'))) as digest from pages")
