@@ -18,7 +18,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op02_minhash.keep_representatives(docs, 85)
+    """Near copies share 80 % of their shingles of five words or more; op2 alone is bound to three words and 85 %."""
+    return op02_minhash.keep_representatives(docs, 80, 5)
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

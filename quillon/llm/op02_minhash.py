@@ -33,6 +33,8 @@ from quillon.llm._common import components, join_ids, small_batches, stage
 #: 26 bands of 5 rows: a pair of similarity 0.85 shares no band with probability 2.4e-7, one of 0.5 shares one with 0.56.
 BANDS, ROWS = 26, 5
 T = BANDS * ROWS
+#: Of pairs from a similarity of 0.8: 30 bands of 4 rows miss one of 0.8 with probability 1.4e-7 (26 of 5: 3.3e-5).
+LOOSE = (30, 4)
 #: Rounds of comparing members with a leader, at most; they end early when one finds little.
 STARS = 5
 _U = np.uint64
@@ -96,39 +98,45 @@ def sketch(shingles: np.ndarray, t: int = T) -> np.ndarray:
     return out
 
 
-def bands(coordinates: np.ndarray) -> np.ndarray:
-    """A signed 64-bit key for each band; the number of the band is part of it."""
-    own = _mix(coordinates * _BAND).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64)
-    return _mix(own + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows for links from percent on."""
+    return (BANDS, ROWS) if percent >= 85 else LOOSE
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def bands(coordinates: np.ndarray, n: int = BANDS) -> np.ndarray:
+    """A signed 64-bit key for each of n bands; the number of the band is part of it."""
+    own = _mix(coordinates * _BAND[: len(coordinates)]).reshape(n, -1).sum(axis=1, dtype=np.uint64)
+    return _mix(own + np.arange(n, dtype=np.uint64)).view(np.int64)
+
+
+def sketches(docs: DataFrame, size: int = 3, banded: tuple[int, int] = (BANDS, ROWS)) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands) of each document; set_key is a 128-bit digest of the whole set."""
     small_batches(docs.sparkSession)
+    n_bands, t = banded[0], banded[0] * banded[1]
 
     def run(batches):
-        shingler = Shingler()
+        shingler = Shingler(size)
         for b in batches:
             n, keys, bs = [], [], []
             for text in b["text"].to_pylist():
                 s = shingler(text)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bs.append(bands(sketch(s)) if len(s) else None)
+                bs.append(bands(sketch(s, t), n_bands) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, size: int = 3) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     small_batches(pairs.sparkSession)
 
     def run(batches):
-        shingles = lru_cache(maxsize=512)(Shingler())
+        shingles = lru_cache(maxsize=512)(Shingler(size))
         for batch in batches:
             keep = []
             for x, y in zip(batch["ta"].to_pylist(), batch["tb"].to_pylist(), strict=True):
@@ -140,12 +148,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(texts: DataFrame, members: DataFrame) -> DataFrame:
+def shingle_sets(texts: DataFrame, members: DataFrame, size: int = 3) -> DataFrame:
     """members (doc_id, own, few) with their full sets as arrays h."""
     small_batches(texts.sparkSession)
 
     def run(batches):
-        shingler = Shingler()
+        shingler = Shingler(size)
         for b in batches:
             h = pa.array([shingler(t).view(np.int64) for t in b["text"].to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["own"], b["few"], h], names=["doc_id", "own", "few", "h"])
@@ -183,9 +191,12 @@ def leaders(members: DataFrame) -> DataFrame:
     return members.groupBy("band", "key").agg((-top["minus_id"]).alias("leader"), top["n"].alias("leader_n"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
-    sk = stage(sketches(docs))
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
+
+    Links are pairs whose sets of shingles of size words have a similarity of percent or more.
+    """
+    sk = stage(sketches(docs, size, banding(percent)))
     named = sk.where("doc_id is not null")
     classes = stage(named.where("n_shingles > 0").groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     reps = named.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -209,7 +220,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     current, links = buckets, None
     for _ in range(STARS):
         pairs = current.where((F.col("doc_id") != F.col("leader")) & fits).select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b"))
-        new = stage(confirmed(pairs.distinct(), texts, percent))
+        new = stage(confirmed(pairs.distinct(), texts, percent, size))
         links = new if links is None else stage(links.union(new).distinct())
         labels = stage(components(links))
         apart = labelled(labelled(current.drop("own", "lead"), labels, "doc_id", "own"), labels, "leader", "lead").where("own <> lead")
@@ -220,7 +231,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     left = labelled(labelled(buckets, labels, "doc_id", "own"), labels, "leader", "lead")
     mixed = left.groupBy("band", "key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("c")).where("lo <> hi and c > 2")
     left = left.join(mixed, ["band", "key"]).groupBy("doc_id", "own").agg(F.max(F.col("own") != F.col("lead")).alias("few"))
-    more = stage(confirmed(by_prefix(stage(shingle_sets(texts, stage(left))), percent), texts, percent))
+    more = stage(confirmed(by_prefix(stage(shingle_sets(texts, stage(left), size)), percent), texts, percent, size))
     if not more.isEmpty():
         labels = stage(components(links.union(more)))
     # Copies take the component of their class. A class's representative is its smallest doc_id.
@@ -231,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_representatives(docs: DataFrame, percent: int = 85, size: int = 3) -> DataFrame:
     """One document of each component, the one of smallest doc_id, with all columns."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id")
+    gone = near_duplicates(docs, percent, size).where("not kept").select("doc_id")
     return join_ids(docs, stage(gone), "doc_id", "left_anti")

@@ -136,6 +136,29 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [(got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) for i in range(len(rows))] == [(len(s), k, k == i) for i, (s, k) in enumerate(zip(sets, low, strict=True))]
 
 
+def test_near_dedup_stage_equals_brute_force(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(11), []
+    for _ in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(100)]
+        # Added text moves the similarity across 0.8, where three words and 85 % find no link.
+        rows += [(len(rows) + i, " ".join(base + [f"v{rng.randrange(9999)}" for _ in range(n)])) for i, n in enumerate((0, rng.randint(12, 20), rng.randint(21, 40)))]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets, low = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for _ in range(3):
+        for a in range(len(rows)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in run(kept)) == [i for i, k in enumerate(low) if k == i]
+
+
 def test_sketch_fills_every_coordinate_and_estimates():
     x = np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for n in (1, 2, 7, 130, 2000):
