@@ -226,6 +226,37 @@ def test_licences_and_bounds(spark):
     assert got == {0: "MIT", 1: None, 2: "Apache-2.0"}
 
 
+def test_licence_windows_equal_brute_force(spark):
+    rng = random.Random(5)
+    templates = [("A", "one two three four five six"), ("B", "three four five six seven eight nine ten one two"), ("C", "alpha beta gamma")]
+    words = "one two three four five six seven eight nine ten alpha beta gamma x y".split()
+    texts = [" ".join(rng.choice(words) for _ in range(4)) + " " + " ".join(w for w in rng.choice(templates)[1].split() for _ in range(rng.choice([1, 1, 1, 1, 2])) if rng.random() < 0.95) + " " + " ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(150)]
+
+    def dice(a, b):
+        return 2 * len(a & b) / (len(a) + len(b))
+
+    def pairs(w):
+        return set(zip(w, w[1:], strict=False))
+
+    got = {r["doc_id"]: r for r in run(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates))}
+    some = 0
+    for i, t in enumerate(texts):
+        w = t.split()
+        windows = [pairs(w[a:b]) for a in range(len(w)) for b in range(a + 2, len(w) + 1)]
+        want = [k for k, v in templates if any(dice(x, pairs(v.split())) >= 0.8 for x in windows)]
+        assert got[i]["licenses"] == want and (got[i]["license"] in want if want else got[i]["license"] is None)
+        some += len(want)
+    assert some > 50
+
+
+def test_whole_licence_texts_and_notices_in_prose(spark):
+    whole = dict(license_scan.texts())
+    rows = [(0, "prose " * 50 + "as said it is Released under the MIT License. " + "more " * 50), (1, whole["MIT"]), (2, "/*\n * " + whole["BSD-2-Clause"].replace("\n", "\n * ")), (3, whole["GPL-3.0"]), (4, whole["MIT"] + "\nand\n" + whole["ISC"]), (5, "the MIT of licences")]
+    got = {r["doc_id"]: r["licenses"] for r in run(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert [x in got[i] for i, x in enumerate(["MIT", "MIT", "BSD-2-Clause", "GPL-3.0"])] == [True] * 4
+    assert {"MIT", "ISC"} <= set(got[4]) and got[5] == []
+
+
 def test_language_id_on_held_out_documents(spark):
     import duckdb
 
