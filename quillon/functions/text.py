@@ -90,11 +90,16 @@ def cer(hyp: Column, ref: Column) -> Column:
 
 
 def garbage(text: Column) -> Column:
-    """A word that makes up half of eight or more, or a short unit that tiles the text."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    top = F.array_max(F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w))))
-    dense = F.regexp_replace(text, r"\s+", "")
-    return ((F.size(words) >= 8) & (top >= F.greatest(F.lit(10), F.floor(F.size(words) / 2)))) | ((F.length(dense) >= 24) & dense.rlike(r"\A(.{1,8}?)\1{7,}\z"))
+    """A word that makes up half of eight or more and occurs ten times, or a short unit repeated eight times on end anywhere.
+
+    Words are counted by sorting them: one that occurs k times stands k - 1 places after itself.
+    """
+    stripped = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    words = F.filter(F.split(lenient(text), " "), lambda w: w != "")
+    many = F.greatest(F.lit(10), F.floor(F.size(words) / 2).cast("int"))
+    top = F.transform(F.array(F.struct(F.sort_array(words).alias("w"), many.alias("k"))), lambda s: F.exists(F.transform(s["w"], lambda w, i: F.get(s["w"], i + s["k"] - 1) == w), lambda same: F.coalesce(same, F.lit(False))))[0]
+    dense = F.regexp_replace(F.lower(text), r"(?U)\s+", "")
+    return (F.length(stripped) >= 12) & (((F.size(words) >= 8) & top) | ((F.length(dense) >= 24) & dense.rlike(r"(?s)(.{1,8}?)\1{7,}")))
 
 
 def escape_html(text: Column) -> Column:

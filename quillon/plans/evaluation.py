@@ -103,7 +103,11 @@ def text_delta(spark, sf_dir):
 
 @query("K7_garbage")
 def garbage(spark, sf_dir):
-    return text_pairs(spark, sf_dir).select("doc_id", T.garbage(F.col("h")).alias("garbage"))
+    """Every whole document, and every turn of a conversation; doc_id numbers the turns as text_pairs does."""
+    garbled = T.garbage(F.col("text")).alias("garbage")
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), "doc_id", garbled)
+    turns = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), garbled)
+    return docs.union(turns)
 
 
 @query("K15_strip_markup", r"select page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\s#*|$]+', ' ', 'g'))) as digest from pages")
