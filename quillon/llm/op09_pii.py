@@ -4,11 +4,14 @@ Base spans come from patterns and checks. The protected entities are their kinds
 discloses its kind as far as the corpus shows that the two go together: with N documents, n of them
 with the kind, df with the term and co with the term within WINDOW words of a span of the kind, the
 pointwise mutual information is log2(co N / (df n)) and the kind's information is log2(N / n). A term
-whose share of that information reaches DISCLOSURE, in at least SUPPORT documents, becomes a span of
-kind "term" there; sanitised texts generalise base spans to their kind and remove such terms.
+discloses if its share of that information reaches DISCLOSURE and chance doesn't explain co: with q =
+co / df and p = n / N, co of df documents or more have the kind by chance with a probability of
+exp(-df (q ln(q / p) + (1 - q) ln((1 - q) / (1 - p)))) at most (Chernoff), which must not exceed CHANCE.
+Each occurrence of such a term outside base spans, in any document, is a span of kind "term"; sanitised
+texts generalise base spans to their kind and remove such terms.
 
-Only documents with a digit or an "@" can hold base spans; just these reach Python. Term counts cover
-all documents and are summed before any shuffle.
+Only documents with a digit or an "@" can hold base spans; just these and those with a disclosing term
+reach Python. Term counts cover all documents and are summed before any shuffle.
 
 Defined results: a null text is an empty one; a null doc_id and repeated rows stay one row each; an
 empty table gives no row; columns other than doc_id and text are ignored (sanitize keeps them).
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import join_ids, small_batches, stage
+from quillon.llm._common import small_batches, stage
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -32,7 +35,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _RUN = re.compile(r"[A-Za-z0-9._%+-]+")
-WINDOW, SUPPORT, DISCLOSURE = 4, 5, 0.75
+WINDOW, DISCLOSURE, CHANCE = 4, 0.75, 0.01
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -108,22 +111,18 @@ _NEAR = pa.list_(pa.struct([("kind", pa.string()), ("term", pa.string()), ("a",
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """For documents that may hold spans: doc_id, sha (of the text), counts, base (told) and near (terms)."""
+    """For documents that may hold spans: counts by kind, and near (terms)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             texts = b["text"].to_pylist()
             spans = [base_spans(t) for t in texts]
-            cols = [b["doc_id"], pa.array([hashlib.sha256(t.encode("utf-8")).digest() if s else None for t, s in zip(texts, spans, strict=True)], pa.binary())]
-            cols += [pa.array([sum(x[0] == k for x in s) for s in spans], pa.int64()) for k in KINDS[:4]]
-            cols += [pa.array([told(s) for s in spans], pa.string())]
+            cols = [pa.array([sum(x[0] == k for x in s) for s in spans], pa.int64()) for k in KINDS[:4]]
             near = [[dict(zip(("kind", "term", "a", "b"), x, strict=True)) for x in terms_near(t, s)] if s else [] for t, s in zip(texts, spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(near, _NEAR)], names=["doc_id", "sha", *(f"n_{k}" for k in KINDS[:4]), "base", "near"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(near, _NEAR)], names=[*(f"n_{k}" for k in KINDS[:4]), "near"])
 
-    return may_hold(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, sha binary, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<kind: string, term: string, a: int, b: int>>"
-    )
+    return may_hold(docs).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n_email long, n_ip long, n_card long, n_phone long, near array<struct<kind: string, term: string, a: int, b: int>>")
 
 
 def may_hold(docs: DataFrame, holds: bool = True) -> DataFrame:
@@ -131,46 +130,84 @@ def may_hold(docs: DataFrame, holds: bool = True) -> DataFrame:
     return docs.where(able if holds else ~able)
 
 
-def disclosing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, share: float = DISCLOSURE) -> DataFrame:
-    """(kind, term) pairs whose mutual information reaches the share of the kind's information."""
+def terms_of(docs: DataFrame) -> DataFrame:
+    """(key, term) of the words of letters of each document; key is a hash of its text."""
+    text = F.col("text").cast("string")
+    words = F.array_distinct(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^\\p{L}]+"))
+    return docs.select(F.xxhash64(text).alias("key"), F.explode(words).alias("term"))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, chance: float = CHANCE, share: float = DISCLOSURE) -> DataFrame:
+    """(kind, term) pairs whose mutual information reaches the share of the kind's information, beyond chance."""
     total = docs.count()
     with_kind = found.agg(*[F.sum((F.col(f"n_{k}") > 0).cast("long")).alias(k) for k in KINDS[:4]]).first()
     pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["kind"].alias("kind"), x["term"].alias("term"))))).alias("p"))
-    co = stage(pairs.groupBy("p.kind", "p.term").agg(F.count("*").alias("co")).where(F.col("co") >= support))
+    co = stage(pairs.groupBy("p.kind", "p.term").agg(F.count("*").alias("co")))
     if co.isEmpty():
         return co.select("kind", "term")
-    words = F.array_distinct(F.split(F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^\\p{L}]+"))
-    df = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = terms_of(docs).groupBy("term").agg(F.count("*").alias("df"))
     kinds = F.create_map(*[F.lit(x) for k in KINDS[:4] for x in (k, float(with_kind[k] or 0))])
-    pmi = F.log2(F.col("co") * F.lit(float(total)) / (F.col("df") * kinds[F.col("kind")]))
-    return co.join(df, "term").where(pmi >= share * F.log2(F.lit(float(total)) / kinds[F.col("kind")])).where(kinds[F.col("kind")] < total).select("kind", "term")
+    p, q = kinds[F.col("kind")] / F.lit(float(total)), F.col("co") / F.col("df")
+    rare = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    able = co.join(df, "term").where(p < 1).where(F.log2(q / p) >= -share * F.log2(p))
+    return able.where((q > p) & (F.col("df") * (q * F.log(q / p) + rare) >= -F.log(F.lit(chance)))).select("kind", "term")
+
+
+#: Rows of (key, terms) up to which a side may be broadcast.
+FEW = 50_000
+
+
+def with_terms(docs: DataFrame) -> DataFrame:
+    """docs with _terms, the disclosing terms that a text holds, or null."""
+    terms = stage(disclosing(docs, stage(find_spans(docs))).select("term").distinct())
+    n = terms.count()
+    if not n:
+        return docs.withColumn("_terms", F.lit(None).cast("array<string>"))
+    # One hash for two texts does no harm: each term is looked for in the text itself.
+    held = stage(terms_of(docs).join(F.broadcast(terms) if n <= FEW else terms, "term").groupBy(F.col("key").alias("_key")).agg(F.collect_set("term").alias("_terms")))
+    return docs.join(F.broadcast(held) if held.count() <= FEW else held, F.xxhash64(F.col("text").cast("string")) == F.col("_key"), "left").drop("_key")
+
 
+def term_places(text: str, spans: list[tuple[str, int, int]], terms: list[str] | None) -> list[tuple[int, int]]:
+    """(start, end) of each occurrence of the terms outside spans."""
+    import regex
 
-def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(sha, extra): for each text with disclosing terms, their places as an array of (a, b)."""
-    pairs = stage(disclosing(docs, found))
-    places = found.where("size(near) > 0").dropDuplicates(["sha"]).select("sha", F.explode("near").alias("x")).select("sha", "x.kind", "x.term", "x.a", "x.b")
-    hits = places.join(pairs, ["kind", "term"]).select("sha", "a", "b").distinct()
-    return hits.groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("extra"))
+    if not terms:
+        return []
+    known = set(terms)
+    words = (m.span() for m in regex.finditer(r"\p{L}{3,}", text) if m.group().translate(_UPPER) in known)
+    return [(a, b) for a, b in words if not any(x < b and a < y for _, x, y in spans)]
 
 
 def pii(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term."""
-    found = stage(find_spans(docs))
-    extra = stage(term_spans(docs, found))
-    full = found.drop("near").join(extra.withColumnRenamed("sha", "key"), F.col("sha") == F.col("key"), "left")
-    # Spans in order: base ones are strings already; places are read back from them.
-    base = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
-    order = F.array(*map(F.lit, KINDS))
-    as_struct = lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("a"), F.array_position(order, F.split(s, ":")[0]).alias("k"), F.split(s, ":")[2].cast("int").alias("b"), s.alias("s"))
-    term = lambda x: F.struct(x["a"].alias("a"), F.lit(5).cast("long").alias("k"), x["b"].alias("b"), F.concat_ws(":", F.lit("term"), x["a"].cast("string"), x["b"].cast("string")).alias("s"))
-    both = F.concat(F.transform(base, as_struct), F.coalesce(F.transform("extra", term), F.array().cast("array<struct<a: int, k: bigint, b: int, s: string>>")))
+    small_batches(docs.sparkSession)
+    rows = with_terms(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     counts = [f"n_{k}" for k in KINDS[:4]]
-    some = full.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), F.array_join(F.transform(F.array_sort(both), lambda x: x["s"]), ",").alias("spans"), F.coalesce(F.size("extra"), F.lit(0)).cast("long").alias("n_term"))
-    rest = may_hold(docs, False).select(F.col("doc_id").cast("long").alias("doc_id"), *[F.lit(0).cast("long").alias(c) for c in counts], F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_term"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t, terms in zip(b["text"].to_pylist(), b["_terms"].to_pylist(), strict=True):
+                base = base_spans(t)
+                places = term_places(t, base, terms)
+                spans = sorted([*base, *(("term", *x) for x in places)], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+                out.append((*(sum(s[0] == k for s in base) for k in KINDS[:4]), hashlib.sha256(told(base).encode()).hexdigest(), told(spans), len(places)))
+            cols = list(zip(*out, strict=True)) if out else [()] * 7
+            types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], names=["doc_id", *counts, "base_sha256", "spans", "n_term"])
+
+    some = marked(rows).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long")
+    rest = marked(rows, False).select("doc_id", *[F.lit(0).cast("long").alias(c) for c in counts], F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_term"))
     return some.union(rest)
 
 
+def marked(rows: DataFrame, holds: bool = True) -> DataFrame:
+    """The rows that may hold base spans or have terms, or all others."""
+    able = F.coalesce(F.col("text").cast("string").rlike("[0-9@]"), F.lit(False)) | F.col("_terms").isNotNull()
+    return rows.where(able if holds else ~able)
+
+
 def cleaned(text: str, extra: list[tuple[int, int]]) -> str:
     """Base spans become their kind in brackets, terms go; overlapping spans become one, named by the first."""
     spans = sorted([*base_spans(text), *(("term", a, b) for a, b in extra)], key=lambda s: (s[1], KINDS.index(s[0])))
@@ -186,19 +223,16 @@ def cleaned(text: str, extra: list[tuple[int, int]]) -> str:
 
 def sanitize(docs: DataFrame) -> DataFrame:
     """The same rows and columns, with text sanitised; documents without spans keep theirs to the byte."""
-    found = stage(find_spans(docs))
-    extra = stage(term_spans(docs, found).withColumnRenamed("sha", "_sha"))
-    able = may_hold(docs)
-    some = able.join(F.broadcast(extra) if extra.count() <= 50_000 else extra, F.unhex(F.sha2(F.col("text").cast("string"), 256)) == F.col("_sha"), "left").drop("_sha")
+    rows = with_terms(docs)
     at = docs.columns.index("text")
     schema = docs.schema
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            texts = [cleaned(t, [(x["a"], x["b"]) for x in e or []]) for t, e in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            texts = [cleaned(t, term_places(t, base_spans(t), e)) for t, e in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             cols = [*b.columns[:-1]]
             cols[at] = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    return some.mapInArrow(run, schema).union(may_hold(docs, False))
+    return marked(rows).mapInArrow(run, schema).union(marked(rows, False).drop("_terms"))

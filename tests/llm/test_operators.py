@@ -208,6 +208,19 @@ def test_pii_spans_and_terms(spark):
     assert clean[0] == "the  [EMAIL] of" and clean[100] == "the of and plain text"
 
 
+def test_disclosing_terms_go_everywhere(spark):
+    far = "one two three four five six seven"
+    rows = [(i, f"mail x{i}@mail.example from zephyrine") for i in range(3)] + [(3, f"x3@mail.example {far} zephyrine"), (4, "Zephyrine wrote plain text")]
+    rows += [(100 + i, f"the of and plain text mail from no. {i}") for i in range(95)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in run(pii.pii(df))}
+    # Three documents of five hold the term near a span, two elsewhere: beyond the window and without any span.
+    assert [got[i]["n_term"] for i in range(5)] == [1] * 5 and got[4]["spans"] == "term:0:9"
+    assert all(got[100 + i]["n_term"] == 0 for i in range(95))
+    clean = {r["doc_id"]: r["text"] for r in run(pii.sanitize(df))}
+    assert not any("zephyrine" in t.lower() for t in clean.values()) and clean[4] == " wrote plain text" and clean[100] == rows[5][1]
+
+
 def test_quality_counts_equal_brute_force(spark, docs):
     rows = [r for r in run(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text"))]
     got = {r["doc_id"]: r for r in run(quality.quality(docs))}
