@@ -1,7 +1,5 @@
 """The operators on awkward rows and small fixtures, against brute force and the libraries."""
 
-import base64
-import gzip
 import hashlib
 import random
 import re
@@ -11,7 +9,6 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from quillon.llm import op01_warc as warc
 from quillon.llm import op02_minhash as minhash
 from quillon.llm import op03_token_counts as counts
 from quillon.llm import op04_sentencepiece as spm
@@ -167,22 +164,6 @@ def test_sketch_fills_every_coordinate_and_estimates():
     assert abs(agree - 900 / 1100) < 0.15
 
 
-def test_warc_round_trip_and_versions(spark):
-    rows = [(3, "http://a/ b", "same"), (1, "http://a", "same"), (2, None, None), (5, "u", ""), (4, "http://é", "unique\r\n\r\nWARC/1.0")]
-    got = {r["page_id"]: r for r in run(warc.pages_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")))}
-    digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
-    assert {k: (v["record_type"], v["refers_to"]) for k, v in got.items()} == {1: ("response", None), 3: ("revisit", 1), 2: ("response", None), 5: ("revisit", 2), 4: ("response", None)}
-    assert all(got[i]["payload_digest"] == digest(t or "") and got[i]["payload_bytes"] == len((t or "").encode()) for i, _, t in rows)
-    record = {"url": "http://x", "ip": "1.2.3.4", "date": "20010203040506", "mime": "text/html", "block": b"abc\ndef"}
-    for version in (1, 2):
-        data = warc.arc_file([record, record], version)
-        for blob in (data, gzip.compress(data)):
-            assert [r["block"] for r in warc.parse_arc(blob)] == [b"abc\ndef"] * 2
-        with pytest.raises(ValueError):
-            list(warc.parse_arc(data[:-5]))
-    assert run(warc.pages_round_trip(spark.createDataFrame([], "page_id long, url string, html string"))) == []
-
-
 def test_exact_dedup_over_many_memtables(spark):
     rows = [(i, t) for i, t in enumerate(["a b", "ab", " a  b ", None, "", "x", "ab "] * 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
