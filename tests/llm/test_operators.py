@@ -16,7 +16,6 @@ from quillon.llm import op05_packing as packing
 from quillon.llm import op06_language_id as lid
 from quillon.llm import op07_quality_rules as quality
 from quillon.llm import op08_exact_dedup as dedup
-from quillon.llm import op09_pii as pii
 from quillon.llm import op10_license_scan as license_scan
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, kept boolean"
@@ -47,7 +46,7 @@ def run(df):
 def test_every_operator_takes_odd_and_empty_tables(docs, empty):
     json_file, word_file, model = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
     n = docs.count()
-    for f in (lambda d: counts.token_counts(d, json_file), lambda d: spm.round_trip(d, model), lid.identify, quality.quality, dedup.exact_dedup, pii.pii, license_scan.scan):
+    for f in (lambda d: counts.token_counts(d, json_file), lambda d: spm.round_trip(d, model), lid.identify, quality.quality, dedup.exact_dedup, license_scan.scan):
         assert f(docs).count() == n
         assert f(empty).count() == 0
     assert packing.pack(docs, word_file).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
@@ -177,31 +176,6 @@ def test_exact_dedup_over_many_memtables(spark):
     assert sorted(r["doc_id"] for r in run(dedup.keep_first(df))) == sorted(min(m)[1] for m in groups.values())
 
 
-def test_pii_spans_and_terms(spark):
-    t = "mail a.b@c.example now, 1.2.3.4 and 300.1.1.1, 4111 1111 1111 1111, +1 (555) 123-4567."
-    assert [k for k, _, _ in pii.base_spans(t)] == ["email", "ip", "card", "phone"]
-    assert pii.cleaned(t, []) == "mail [EMAIL] now, [IP] and 300.1.1.1, [CARD], [PHONE]."
-    rows = [(i, f"the zephyrine x{i}@mail.example of") for i in range(8)] + [(100 + i, "the of and plain text") for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in run(pii.pii(df))}
-    assert all((got[i]["n_email"], got[i]["n_term"]) == (1, 1) for i in range(8)) and all(got[i + 100]["spans"] == "" for i in range(60))
-    clean = {r["doc_id"]: r["text"] for r in run(pii.sanitize(df))}
-    assert clean[0] == "the  [EMAIL] of" and clean[100] == "the of and plain text"
-
-
-def test_disclosing_terms_go_everywhere(spark):
-    far = "one two three four five six seven"
-    rows = [(i, f"mail x{i}@mail.example from zephyrine") for i in range(3)] + [(3, f"x3@mail.example {far} zephyrine"), (4, "Zephyrine wrote plain text")]
-    rows += [(100 + i, f"the of and plain text mail from no. {i}") for i in range(95)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r for r in run(pii.pii(df))}
-    # Three documents of five hold the term near a span, two elsewhere: beyond the window and without any span.
-    assert [got[i]["n_term"] for i in range(5)] == [1] * 5 and got[4]["spans"] == "term:0:9"
-    assert all(got[100 + i]["n_term"] == 0 for i in range(95))
-    clean = {r["doc_id"]: r["text"] for r in run(pii.sanitize(df))}
-    assert not any("zephyrine" in t.lower() for t in clean.values()) and clean[4] == " wrote plain text" and clean[100] == rows[5][1]
-
-
 def test_quality_counts_equal_brute_force(spark, docs):
     rows = [r for r in run(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text"))]
     got = {r["doc_id"]: r for r in run(quality.quality(docs))}
