@@ -104,12 +104,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HEAVY = 100_000
 
 
-def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], by: Column, heavy: int = HEAVY) -> DataFrame:
+def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], by: Column, heavy: int = HEAVY, counted: DataFrame | None = None) -> DataFrame:
     """rows joined with per_key, which has a row per key at most; rows of a key beyond heavy are dealt out by the column by.
 
-    The keys that need it are at most len(rows) / heavy; they are counted, and broadcast where they are few.
+    The keys that need it are at most len(rows) / heavy; they are counted, in counted where that has the
+    keys of rows at less cost, and broadcast where they are few.
     """
-    many = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy)
+    counted = rows if counted is None else counted
+    if counted.count() <= heavy:
+        return rows.join(per_key, keys)
+    many = counted.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > heavy)
     many = stage(many.select(*keys, F.ceil(F.col("_n") / heavy).cast("int").alias("_parts")))
     n = many.count()
     if not n:
@@ -131,14 +135,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges, settled = stage(edges), False
     while not settled:
-        big = edges.count() > HEAVY
-        join = (lambda e, low: salted_join(e, low, ["u"], F.col("v"))) if big else (lambda e, low: e.join(low, "u"))
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        big = edges.count() > HEAVY
+        large = (salted_join(both, low, ["u"], F.col("v")) if big else both.join(low, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large) if big else large
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = join(large, low).select(
+        small = (salted_join(large, low, ["u"], F.col("v")) if big else large.join(low, "u")).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
         edges = stage(small.select("e.u", "e.v").where("u <> v").distinct())

@@ -51,7 +51,7 @@ def test_every_operator_takes_odd_and_empty_tables(docs, empty):
         assert f(empty).count() == 0
     assert packing.pack(docs, word_file).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert packing.pack(empty, word_file).count() == 0
-    assert minhash.near_duplicates(docs).count() == docs.select("doc_id").distinct().count()
+    assert minhash.near_duplicates(docs).count() == n
     assert minhash.near_duplicates(empty).count() == 0
 
 
@@ -232,3 +232,41 @@ def test_language_id_on_held_out_documents(spark):
     got = {r["doc_id"]: r for r in run(lid.identify(spark.read.parquet(path)))}
     held = [got[i]["lang_pred"] == lang for i, lang in duckdb.sql(f"select doc_id, lang from '{path}'").fetchall() if got[i]["held_out"]]
     assert sum(held) >= 0.95 * len(held) > 0
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(1, a), (2, b), (3, a), (3, b), (None, b + " end"), (None, c), (None, c + " end"), (4, None), (4, "  "), (5, a), (5, a)]
+    want = sorted(map(str, [(1, 48, 1, True), (2, 48, 2, True), (3, 48, 1, False), (3, 48, 2, False), (None, 49, 2, False), (None, 48, None, True), (None, 49, None, True), (4, 0, 4, True), (4, 0, 4, True), (5, 48, 1, False), (5, 48, 1, False)]))
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = run(minhash.near_duplicates(df))
+        assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"])) for r in got) == want
+        kept = minhash.keep_representatives(df.selectExpr("*", "1 as node", "2 as _doc", "text as text_hash"))
+        assert sorted(str((r["doc_id"], r["text"])) for r in run(kept)) == sorted(map(str, [(1, a), (2, b), (None, c), (None, c + " end"), (4, None), (4, "  ")]))
+
+
+def test_keys_of_many_rows_are_dealt_out(spark, monkeypatch):
+    from quillon.llm import _common
+
+    rows = spark.range(1000).selectExpr("case when id < 600 then 7 else id end as k", "id as v")
+    per_key = spark.range(1000).selectExpr("id as k", "id * 2 as w").where("k % 10 <> 3")
+    joined = _common.salted_join(rows, per_key, ["k"], rows["v"], heavy=50)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, rows.join(per_key, "k").collect()))
+    # A hub of many links, chains and lone pairs.
+    monkeypatch.setattr(_common, "HEAVY", 20)
+    links = [(0, i) for i in range(5, 200, 5)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 1000), (3000, 3001)]
+    got = {r["node"]: r["component"] for r in run(_common.components(spark.createDataFrame(links, "a long, b long")))}
+    assert got == {i: 3000 if i >= 3000 else 0 for link in links for i in link}
+
+
+def test_staged_folders_and_settings_are_given_back(spark):
+    from quillon.llm import _common
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    frame = _common.stage(spark.range(3).toDF("a"))
+    assert spark.conf.get(key) == before and frame.count() == 3
+    path = _common.staged()[-1]
+    _common.release(spark, [path])
+    assert path not in _common.staged() and _common.fresh(spark.range(1).toDF("_A"), "_a") == "_a_"
