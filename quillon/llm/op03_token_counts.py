@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import small_batches
+from quillon.llm._common import slices, small_batches
 from quillon.llm._tokens import CACHE_ENTRIES, KEEP_LENGTH, pieces_of
 
 #: Documents read for the frequent table (a bound; drawn at random over the whole input), and its entries.
@@ -86,11 +86,12 @@ def frequent_table(docs: DataFrame, tokenizer_file: str, sample_docs: int = SAMP
     some = docs.select("text").sample(min(1.0, sample_docs / max(1, total)), seed=7).limit(sample_docs)
 
     def words(batches):
-        for b in batches:
+        for b in slices(batches):
             seen = Counter(w for t in b["text"].to_pylist() if t for w in pre_tokens(t) if len(w) <= MAX_LENGTH)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "n"])
 
-    top = some.mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(entries).toPandas()["w"].tolist()
+    with small_batches(docs.sparkSession):
+        top = some.mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(entries).toPandas()["w"].tolist()
     return dict(zip(top, map(len, map(pieces_of(tokenizer_file).ids, top)), strict=True)) if top else {}
 
 
@@ -99,11 +100,10 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 1024) -> Dat
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shared = spark.sparkContext.broadcast(frequent_table(rows, tokenizer_file))
-    small_batches(spark)
 
     def count(batches):
         counter = counter_of(tokenizer_file, shared)
-        for b in batches:
+        for b in slices(batches):
             n = counter.count(b["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_bytes"], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

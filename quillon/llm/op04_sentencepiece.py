@@ -4,7 +4,9 @@ One pass over a text's characters visits, at each position, the pieces that end
 by the automaton's output links. For a unigram model the best score of the position is relaxed by each
 (Viterbi). For a BPE model scores rank merges and don't add up, so that the relaxation asks another
 question: the piece is the last one of the prefix's encoding if the piece before it and it encode, put
-together, to just these two. Exactly one piece passes, and the encoding equals the library's.
+together, to just these two. Exactly one piece passes, and the encoding equals the library's. That
+question supposes that a piece has one history; pieces of several spaces have not, so parts with two
+spaces in a row are merged over a heap, by the definition, in n log n steps.
 
 Texts are cut where no piece has the two characters side by side; parts are looked up in a worker's
 bounded cache. Normalisation is that of the model file: white space as U+2581, a space put before the
@@ -21,13 +23,14 @@ import re
 import struct
 import zlib
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import small_batches
+from quillon.llm._common import slices
 
 #: Entries of each of the cache's two generations, and of the pairs of pieces.
 CACHE_ENTRIES = 150_000
@@ -107,15 +110,23 @@ class Model:
         self.floor = min((self.scores[i] for i in self.normal.values()), default=0.0) - 10.0
 
     def merged(self, text: str, down_to: int = 1) -> list[str]:
-        """Merging by its definition: the best-ranked neighbours first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > down_to:
-            best = max(((self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.normal.get(parts[k] + parts[k + 1])) is not None), default=None)
-            if best is None:
-                break
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        """Merging by its definition: the best-scored neighbours first, the leftmost of equals, over a heap of pairs."""
+        parts, left = list(text), len(text)
+        after, before = list(range(1, left + 1)), list(range(-1, left - 1))
+        scores, normal = self.scores, self.normal
+        heap = [(-scores[p], i, i + 1, x + y) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if (p := normal.get(x + y)) is not None]
+        heapify(heap)
+        while heap and left > down_to:
+            _, i, j, both = heappop(heap)
+            if not parts[i] or after[i] != j or j >= len(parts) or parts[i] + parts[j] != both:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i], left = both, "", after[j], left - 1
+            if after[i] < len(parts):
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < len(parts) and (p := normal.get(parts[x] + parts[y])) is not None:
+                    heappush(heap, (-scores[p], x, y, parts[x] + parts[y]))
+        return [p for p in parts if p]
 
     def fits(self, a: int, b: int) -> bool:
         """Whether b may follow a in an encoding.
@@ -273,11 +284,10 @@ def model_of(path: str) -> Model:
 
 def encode_documents(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     """One row per document: doc_id, ids."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         model = model_of(model_file)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([model.encode(t).astype(np.int32) for t in b["text"].to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -286,11 +296,10 @@ def encode_documents(docs: DataFrame, model_file: str, text: str = "text") -> Da
 
 def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
     """One row per row of (doc_id, ids): doc_id, n_tokens, ids_crc32 (unsigned little-endian 32-bit ids), text."""
-    small_batches(encoded.sparkSession)
 
     def run(batches):
         model = model_of(model_file)
-        for b in batches:
+        for b in slices(batches):
             offsets, flat = b["ids"].offsets.to_numpy(), b["ids"].values.to_numpy(zero_copy_only=False)
             ids = [flat[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
             cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([model.decode(x) for x in ids], pa.string())]

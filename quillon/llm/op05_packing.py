@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillon.llm._common import small_batches, stage
+from quillon.llm._common import slices, stage
 from quillon.llm._tokens import pieces_of
 
 LENGTH, UNIT, END_ID = 4096, 64, 2
@@ -135,11 +135,10 @@ def cuts(n: int, length: int = LENGTH, unit: int = UNIT) -> list[int]:
 
 def pieces(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens) of all documents."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         known, end = pieces_of(tokenizer_file), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             cols = [[], [], [], [], []]
             words = [words_of(t) for t in b["text"].to_pylist()]
             cache = known.fill(set().union(*words))

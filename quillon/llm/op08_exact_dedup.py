@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import join_ids, small_batches, stage
+from quillon.llm._common import join_ids, slices, stage
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 MEMTABLE_BYTES = 64 << 20
@@ -43,13 +43,12 @@ def flush(table: dict, run: str) -> Iterator[pa.RecordBatch]:
 
 def runs(docs: DataFrame, memtable_bytes: int = MEMTABLE_BYTES) -> DataFrame:
     """Level 0: a row per document, sorted by digest within each run; hits within a memtable are byte-verified."""
-    small_batches(docs.sparkSession)
 
     def fill(batches):
         from pyspark import TaskContext
 
         part, table, size, flushed = TaskContext.get().partitionId(), {}, 0, 0
-        for b in batches:
+        for b in slices(batches):
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 body = text.encode("utf-8").translate(None, SPACE_BYTES)
                 digest, twin = hashlib.sha256(body).digest(), 0
