@@ -3,7 +3,6 @@
 import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
 import public_tokenizers as P
@@ -43,13 +42,11 @@ def run(df):
 
 
 def test_every_operator_takes_odd_and_empty_tables(docs, empty):
-    json_file, word_file, model = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
+    json_file, model = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
     n = docs.count()
     for f in (lambda d: counts.token_counts(d, json_file), lambda d: spm.round_trip(d, model), quality.quality, dedup.exact_dedup, license_scan.scan):
         assert f(docs).count() == n
         assert f(empty).count() == 0
-    assert packing.pack(docs, word_file).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
-    assert packing.pack(empty, word_file).count() == 0
     assert minhash.near_duplicates(docs).count() == n
     assert minhash.near_duplicates(empty).count() == 0
 
@@ -75,38 +72,6 @@ def test_counts_and_pieces_equal_the_libraries():
         assert ids.tolist() == library.encode(t) and model.decode(ids) == library.decode(ids.tolist())
 
 
-def test_packing_covers_every_id_once(spark, docs):
-    rows = run(packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), P.path("word_bpe_49k.json")))
-    at, sequences = {}, {}
-    for r in rows:
-        at.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
-        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for pieces in [*at.values(), *sequences.values()]:
-        end = 0
-        for p in sorted(pieces):
-            assert p[0] == end
-            end += p[1]
-    assert all(sum(p[1] for p in v) == v[0][2] for v in at.values())
-    assert all(sum(n for _, n in v) <= packing.LENGTH for v in sequences.values())
-    assert next(r for r in rows if r["doc_id"] == 0)["ids_crc32"] == zlib.crc32(b"\x02\0\0\0")
-
-
-def test_packing_plan_is_exact_and_tight():
-    rng = np.random.default_rng(1)
-    histogram = {int(64 * i): int(n) for i, n in zip(range(1, 65), rng.integers(1, 500, 64), strict=True)}
-    rows, used = packing.layout(histogram, 0)
-    assert {x: sum(r[2] - r[1] for r in rows if r[0] == x) for x in histogram} == histogram
-    # Martello and Toth's bound: volume alone is none where most pieces are longer than half a sequence.
-    sure = []
-    for k in range(0, 2049, 64):
-        long = sum(n for x, n in histogram.items() if x > 4096 - k)
-        half = sum(n for x, n in histogram.items() if 2048 < x <= 4096 - k)
-        volume = sum(x * n for x, n in histogram.items() if k <= x <= 4096 - k)
-        sure.append(long + max(half, -(-volume // 4096)))
-    # Rounding down costs at most one sequence per class.
-    assert max(sure) <= used <= 1.01 * max(sure) + len(histogram)
-
-
 def test_near_duplicates_equal_brute_force(spark):
     rng, rows = random.Random(4), []
     for g in range(12):
