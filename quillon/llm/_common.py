@@ -54,12 +54,12 @@ def _release_all(spark: SparkSession) -> None:
         _staged.clear()
 
 
-def stage(df: DataFrame, **options: str) -> DataFrame:
+def stage(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
     with small_batches(spark):
-        df.write.options(**options).parquet(path)
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,5 @@
 """The operators on awkward rows and small fixtures, against brute force and the libraries."""
 
-import hashlib
 import random
 import re
 
@@ -13,7 +12,6 @@ from quillon.llm import op03_token_counts as counts
 from quillon.llm import op04_sentencepiece as spm
 from quillon.llm import op05_packing as packing
 from quillon.llm import op07_quality_rules as quality
-from quillon.llm import op08_exact_dedup as dedup
 from quillon.llm import op10_license_scan as license_scan
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, kept boolean"
@@ -44,7 +42,7 @@ def run(df):
 def test_every_operator_takes_odd_and_empty_tables(docs, empty):
     json_file, model = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
     n = docs.count()
-    for f in (lambda d: counts.token_counts(d, json_file), lambda d: spm.round_trip(d, model), quality.quality, dedup.exact_dedup, license_scan.scan):
+    for f in (lambda d: counts.token_counts(d, json_file), lambda d: spm.round_trip(d, model), quality.quality, license_scan.scan):
         assert f(docs).count() == n
         assert f(empty).count() == 0
     assert minhash.near_duplicates(docs).count() == n
@@ -127,19 +125,6 @@ def test_sketch_fills_every_coordinate_and_estimates():
     assert abs(agree - 900 / 1100) < 0.15
 
 
-def test_exact_dedup_over_many_memtables(spark):
-    rows = [(i, t) for i, t in enumerate(["a b", "ab", " a  b ", None, "", "x", "ab "] * 5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: r for r in run(dedup.exact_dedup(df, memtable_bytes=300))}
-    groups = {}
-    for i, t in rows:
-        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i))
-    for key, members in groups.items():
-        for _, i in members:
-            assert (got[i]["keep_id"], got[i]["group_size"], got[i]["text_sha256"]) == (min(members)[1], len(members), hashlib.sha256(key.encode()).hexdigest())
-    assert sorted(r["doc_id"] for r in run(dedup.keep_first(df))) == sorted(min(m)[1] for m in groups.values())
-
-
 def test_quality_counts_equal_brute_force(spark, docs):
     rows = [r for r in run(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text"))]
     got = {r["doc_id"]: r for r in run(quality.quality(docs))}
