@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import op02_minhash, op05_packing, op06_language_id, op08_exact_dedup, op09_pii
-from quillon.llm._common import stage, table
+from quillon.llm._common import release, stage, staged, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told go."""
+    """Documents without a letter go, and those that score below half of what any document of the training sample does."""
     return op06_language_id.keep_identified(docs)
 
 
@@ -35,12 +35,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("remove_pii", remove_pii), ("packing", packing)]
 
-#: SQL has no string kernel, sketch or tokenizer: tests hold the stages against brute force instead.
+#: SQL has no string kernel, sketch or tokenizer: tests/llm/test_pipeline.py holds run() against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), staged()
     for _, stage_of in STAGES:
         docs = stage(stage_of(spark, docs, sf_dir))
+        # What a stage wrote for itself, and what it read, isn't needed once its result is written.
+        release(spark, [p for p in staged()[:-1] if p not in before])
     return docs
