@@ -21,12 +21,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillon.llm._common import slices, stage
-from quillon.llm._tokens import pieces_of
+from quillon.llm._tokens import gather, pieces_of
 
 LENGTH, CLASSES, END_ID = 4096, 768, 2
 #: Pieces of one class that one rank task sorts, about.
@@ -170,9 +171,9 @@ def layout(counts: dict[int, int], capacity: int = LENGTH) -> tuple[list[tuple],
 
 
 # Tokens and pieces ----------------------------------------------------------------------------------
-def words_of(text: str) -> list[str]:
+def words_of(texts: pa.Array) -> pa.ListArray:
     """The tokenizer drops white space and never joins across it: each word has its ids by itself."""
-    return text.replace("\n", " ").split(" ")
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 
 
 def cuts(n: int, length: int = LENGTH) -> list[int]:
@@ -187,15 +188,16 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFr
         known, end = pieces_of(tokenizer_file), np.array([end_id], "<u4").tobytes()
         for b in slices(batches):
             cols = [[], [], [], [], []]
-            words = [words_of(t) for t in b["text"].to_pylist()]
-            cache = known.fill(set().union(*words))
-            for doc, ws in zip(b["doc_id"].to_pylist(), words, strict=True):
-                ids, start = memoryview(b"".join([*map(cache.__getitem__, ws), end])), 0
-                for n in cuts(len(ids) // 4):
-                    for c, v in zip(cols, (doc, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4), strict=True):
+            ids, bounds = gather(words_of(b["text"]), known.look_up)
+            data = memoryview(ids.tobytes())
+            for doc, lo, hi in zip(b["doc_id"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                total, start = hi - lo + 1, 0  # with the closing id
+                for n in cuts(total):
+                    check = zlib.crc32(data[4 * (lo + start) : 4 * min(lo + start + n, hi)])
+                    check = zlib.crc32(end, check) if start + n == total else check
+                    for c, v in zip(cols, (doc, start, n, check, total), strict=True):
                         c.append(v)
                     start += n
-            known.forget(set().union(*words))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
