@@ -27,10 +27,12 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm._common import slices
+from quillon.llm._tokens import gather
 
 #: Entries of each of the cache's two generations, and of the pairs of pieces.
 CACHE_ENTRIES = 150_000
@@ -188,16 +190,18 @@ class Model:
         return out[::-1]
 
     def scan_unigram(self, text: str) -> list[int]:
-        n = len(text)
+        """Sums are rounded to 32 bits as the library's are, so that near ties fall the same way; of equal ones the longer last piece stays."""
+        n, near = len(text), np.float32
         last, start, best = [-1] * (n + 1), list(range(-1, n)), [0.0] + [-np.inf] * n
         done = 0  # positions up to here have their best score
         for end, (piece, length) in self.automaton.iter(text):
             while done < end:
                 done += 1
-                best[done] = max(best[done], best[done - 1] + self.floor)
+                best[done] = max(best[done], float(near(best[done - 1] + self.floor)))
             at = end + 1 - length
-            if best[at] + self.scores[piece] > max(best[end + 1], best[end] + self.floor):
-                last[end + 1], start[end + 1], best[end + 1] = piece, at, best[at] + self.scores[piece]
+            score = float(near(best[at] + self.scores[piece]))
+            if score > max(best[end + 1], float(near(best[end] + self.floor))):
+                last[end + 1], start[end + 1], best[end + 1] = piece, at, score
         out, j = [], n
         while j:
             out.append(last[j])
@@ -262,6 +266,11 @@ class Model:
             self.cache[unit] = found
         return found
 
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids the unit of each word has, and all ids in a row."""
+        told = [self.cache.get(SPACE + w) or self.lookup(SPACE + w) if w else b"" for w in words]
+        return np.fromiter(map(len, told), np.int32, len(told)) // 4, np.frombuffer(b"".join(told), "<u4")
+
     def encode(self, text: str | None) -> np.ndarray:
         units = self.units(text or "")
         if self.type != BPE:  # pieces may hold spaces: one part
@@ -271,7 +280,10 @@ class Model:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.shown(b"".join(map(self.surface.__getitem__, ids.tolist())))
+
+    def shown(self, data: bytes) -> str:
+        text = data.decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
@@ -282,13 +294,33 @@ def model_of(path: str) -> Model:
         return Model(f.read())
 
 
+#: Texts that aren't words parted by single spaces; they are cut one by one.
+ODD = r"\A | \z|  |▁"
+
+
+def encode_batch(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, and where each one's begin and end: a batch's distinct words are looked up once."""
+    plain = pc.fill_null(texts, "")
+    odd = pc.or_(pc.match_substring_regex(plain, ODD), pc.equal(plain, "")).to_numpy(zero_copy_only=False)
+    if model.type != BPE or not model.prefix or odd.all():
+        each = [model.encode(t) for t in plain.to_pylist()]
+        return np.concatenate([*each, np.empty(0, "<u4")]), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+    # A word's unit has its space before it, also the first one's, as a space is put before the text.
+    ids, bounds = gather(pc.split_pattern(pc.if_else(pa.array(odd), "", plain), " "), model.look_up)
+    if not odd.any():
+        return ids, bounds
+    each = [model.encode(t.as_py()) if o else ids[lo:hi] for t, o, lo, hi in zip(plain, odd.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+
+
 def encode_documents(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
     """One row per document: doc_id, ids."""
 
     def run(batches):
         model = model_of(model_file)
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([model.encode(t).astype(np.int32) for t in b["text"].to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids, bounds = encode_batch(model, b["text"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
@@ -299,10 +331,14 @@ def decode_documents(encoded: DataFrame, model_file: str) -> DataFrame:
 
     def run(batches):
         model = model_of(model_file)
+        surface = pa.array(model.surface, pa.binary())
         for b in slices(batches):
-            offsets, flat = b["ids"].offsets.to_numpy(), b["ids"].values.to_numpy(zero_copy_only=False)
-            ids = [flat[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-            cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([model.decode(x) for x in ids], pa.string())]
+            flat = b["ids"].flatten()
+            bounds = b["ids"].offsets.to_numpy() - b["ids"].offsets[0].as_py()
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), surface.take(flat)), b"").to_pylist()
+            data = memoryview(flat.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+            checks = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            cols = [pa.array(np.diff(bounds), pa.int64()), pa.array(checks, pa.int64()), pa.array([model.shown(t) for t in texts], pa.string())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *cols], names=["doc_id", "n_tokens", "ids_crc32", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, text string")

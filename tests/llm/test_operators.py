@@ -4,13 +4,9 @@ import random
 import re
 
 import numpy as np
-import public_tokenizers as P
 import pytest
 
 from quillon.llm import op02_minhash as minhash
-from quillon.llm import op03_token_counts as counts
-from quillon.llm import op04_sentencepiece as spm
-from quillon.llm import op05_packing as packing
 from quillon.llm import op07_quality_rules as quality
 from quillon.llm import op10_license_scan as license_scan
 
@@ -40,36 +36,14 @@ def run(df):
 
 
 def test_every_operator_takes_odd_and_empty_tables(docs, empty):
-    json_file, model = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
     n = docs.count()
-    for f in (lambda d: counts.token_counts(d, json_file), lambda d: spm.round_trip(d, model), quality.quality, license_scan.scan):
+    for f in (quality.quality, license_scan.scan):
         assert f(docs).count() == n
         assert f(empty).count() == 0
     assert minhash.near_duplicates(docs).count() == n
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_counts_and_pieces_equal_the_libraries():
-    import sentencepiece
-    from tokenizers import Tokenizer
-
-    rng = random.Random(7)
-    texts = ODD + ["".join(rng.choice("ab e\n ,.éñß漢▁🙂1'S") for _ in range(rng.randint(0, 40))) for _ in range(400)]
-    byte, word = Tokenizer.from_file(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    counter = counts.TokenCounter(P.path("byte_bpe_50k.json"), {})
-    assert counter.count(texts) == [len(byte.encode(t, add_special_tokens=False).ids) for t in texts]
-    assert all("".join(counts.pre_tokens(t)) == t for t in texts)
-    cache = packing.pieces_of(P.path("word_bpe_49k.json"))
-    for t in texts:
-        known = cache.fill(set(packing.words_of(t)))
-        got = np.frombuffer(b"".join(known[w] for w in packing.words_of(t)), "<u4").tolist()
-        assert got == word.encode(t, add_special_tokens=False).ids
-    model, library = spm.model_of(P.path("piece_bpe_32k.model")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
-    for t in texts:
-        ids = model.encode(t)
-        assert ids.tolist() == library.encode(t) and model.decode(ids) == library.decode(ids.tolist())
-
-
 def test_near_duplicates_equal_brute_force(spark):
     rng, rows = random.Random(4), []
     for g in range(12):
