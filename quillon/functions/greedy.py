@@ -55,6 +55,20 @@ def page_order(boxes: list[Box], least: float = 8.0, share: float = 0.65) -> lis
     return [b[0] for b in sorted(boxes, key=cmp_to_key(compare))]
 
 
+def reading_order(words: list[tuple[int, int, int, float, float, float]]) -> list[int]:
+    """Ids of (id, block, line, x, y, h) by block and line; within a line by height where they are more than half the taller one apart, else from the left.
+
+    That rule makes the order intransitive: the result is that of a stable sort of words as given.
+    """
+
+    def compare(a, b) -> float:
+        if a[1:3] != b[1:3]:
+            return -1 if a[1:3] < b[1:3] else 1
+        return a[4] - b[4] if abs(a[4] - b[4]) > 0.5 * max(a[5], b[5]) else a[3] - b[3]
+
+    return [w[0] for w in sorted(words, key=cmp_to_key(compare))]
+
+
 def overlap(a: Box, b: Box) -> float:
     """Intersection over union; 0 for empty boxes."""
     wide = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])

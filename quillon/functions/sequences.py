@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import math
+import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,13 +14,35 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 
+_NO_WORD = re.compile(r"[^\w]+")
+
+
 def edit_distance(a: Sequence, b: Sequence) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+    """Unit costs; a column of the table at a time as bits of two whole numbers (Myers), so that long texts stay cheap."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    at: dict = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    mask, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    more, less, score = mask, 0, len(a)  # where the column steps up and down
+    for y in b:
+        same = at.get(y, 0)
+        level = (((same & more) + more) ^ more) | same | less
+        up, down = less | ~(level | more), more & level
+        score += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & mask, (down << 1) & mask
+        same |= less
+        more, less = down | ~(same | up) & mask, up & same
+    return score
+
+
+@pandas_udf(IntegerType())
+def text_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Over code points."""
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
 @pandas_udf(IntegerType())
@@ -29,8 +53,8 @@ def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 @pandas_udf(DoubleType())
 def text_delta(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: str | None, y: str | None) -> float:
-        p, q = ("".join(c for c in (t or "").lower() if c.isalnum() or c == "_") for t in (x, y))
-        return 0.0 if not p and not q else 1.0 if not p or not q else 1 - SequenceMatcher(None, p, q, autojunk=False).ratio()
+        p, q = (_NO_WORD.sub("", t or "").lower() for t in (x, y))
+        return 0.0 if not p and not q else 1.0 if not p or not q else 1 - SequenceMatcher(None, p, q).ratio()
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
@@ -101,29 +125,45 @@ def suppress(boxes: list[tuple[float, float, float, float, float]], threshold: f
     return kept
 
 
-def ctc_beam(logp: list[list[float]], width: int = 8) -> list[int]:
-    """Best label sequence by prefix beam search; blank is 0."""
-    import math
+def ctc_beam(logp: list[list[float]], width: int = 8, best_path: bool = False, keeps: Callable[[tuple], bool] | None = None, ends: Callable[[tuple], bool] | None = None) -> tuple[list[int], float]:
+    """The best label sequence and its log mass by prefix beams; blank is 0.
 
-    add = lambda *x: max(x) + math.log(sum(math.exp(v - max(x)) for v in x)) if max(x) > -math.inf else -math.inf
-    beam = {(): (0.0, -math.inf)}
+    best_path: where paths meet in a prefix the better one's mass stays, not the sum; what ends in a blank
+    and what ends in the label still add up as the prefix goes on. keeps: whether a prefix may go
+    on at all, ends: whether it may be the result; if none may, the result is empty. Ties go to the
+    sequence that sorts first.
+    """
+
+    def both(x: float, y: float) -> float:
+        top = max(x, y)
+        return top if best_path or top == -math.inf else top + math.log(math.exp(x - top) + math.exp(y - top))
+
+    def add(x: float, y: float) -> float:
+        top = max(x, y)
+        return top if top == -math.inf else top + math.log(math.exp(x - top) + math.exp(y - top))
+
+    none = (-math.inf, -math.inf)
+    beam: dict[tuple, tuple[float, float]] = {(): (0.0, -math.inf)}  # mass of paths that end in a blank, and in a label
     for step in logp:
         new: dict[tuple, tuple[float, float]] = {}
-        for prefix, (blank, other) in beam.items():
-            for label, p in enumerate(step):
-                if label == 0:
-                    b, o = new.get(prefix, (-math.inf, -math.inf))
-                    new[prefix] = (add(b, blank + p, other + p), o)
+        for prefix, (blank, label) in beam.items():
+            total = add(blank, label)
+            for c, p in enumerate(step):
+                if c == 0:
+                    b, o = new.get(prefix, none)
+                    new[prefix] = (both(b, total + p), o)
                     continue
-                longer = (*prefix, label)
-                b, o = new.get(longer, (-math.inf, -math.inf))
-                same = prefix and prefix[-1] == label
-                new[longer] = (b, add(o, blank + p) if same else add(o, blank + p, other + p))
-                if same:
-                    b, o = new.get(prefix, (-math.inf, -math.inf))
-                    new[prefix] = (b, add(o, other + p))
-        beam = dict(sorted(new.items(), key=lambda x: -add(*x[1]))[:width])
-    return list(max(beam.items(), key=lambda x: add(*x[1]))[0])
+                again = bool(prefix) and prefix[-1] == c
+                if again:
+                    b, o = new.get(prefix, none)
+                    new[prefix] = (b, both(o, label + p))
+                longer = (*prefix, c)
+                if keeps is None or keeps(longer):
+                    b, o = new.get(longer, none)
+                    new[longer] = (b, both(o, (blank if again else total) + p))
+        beam = dict(sorted(new.items(), key=lambda x: (-both(*x[1]), x[0]))[:width])
+    able = [(-both(*m), prefix) for prefix, m in beam.items() if ends is None or ends(prefix)]
+    return (list(min(able)[1]), -min(able)[0]) if able else ([], -math.inf)
 
 
 def no_repeat_argmax(scores: list[float], history: list[int], n: int) -> int:
@@ -132,3 +172,34 @@ def no_repeat_argmax(scores: list[float], history: list[int], n: int) -> int:
     banned = {history[i + n - 1] for i in range(len(history) - n + 1) if tuple(history[i : i + n - 1]) == tail} if len(history) >= n > 1 else set()
     order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
     return next((i for i in order if i not in banned), order[0])
+
+
+def token_groups(rows: list[tuple[int, int]], budget: int) -> list[tuple[int, int, int]]:
+    """(id, group, offset) of rows (id, tokens) in order: a group goes on while it stays within the budget."""
+    out, group, used = [], 0, 0
+    for i, n in rows:
+        if used and used + n > budget:
+            group, used = group + 1, 0
+        out.append((i, group, used))
+        used += n
+    return out
+
+
+def layout_fields(words: list[tuple[int, str, str, float, int]]) -> list[tuple[str, str, float, int]]:
+    """(label, value, score, x) of words (place, tag, word, score, x) in order.
+
+    A B- tag or a bare one opens a field, an I- tag goes on with whatever is open; without any it is lost.
+    """
+    out: list[tuple[str, list[str], list[float], int]] = []
+    opened = False
+    for _, tag, word, score, x in words:
+        if tag.startswith("I-"):
+            if opened:
+                out[-1][1].append(word)
+                out[-1][2].append(score)
+        elif tag == "O":
+            opened = False
+        else:
+            out.append((tag.removeprefix("B-"), [word], [score], x))
+            opened = True
+    return [(label, " ".join(w), sum(s) / len(s), x) for label, w, s, x in out]

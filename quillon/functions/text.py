@@ -17,6 +17,9 @@ MINISTRAL = (
     r"[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*"
     r"|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 )
+#: Three splits in turn: digits, ideographs and kana, and the rest; what no alternative takes stays as a piece.
+DEEPSEEK_MAIN = r"[!-/:-@\[-`{-~][A-Za-z]+|[^\r\n\p{L}\p{P}\p{S}]?[\p{L}\p{M}]+| ?[\p{P}\p{S}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+DEEPSEEK = [r"\p{N}{1,3}|\P{N}+", r"[\x{4E00}-\x{9FA5}\x{3040}-\x{309F}\x{30A0}-\x{30FF}]+|[^\x{4E00}-\x{9FA5}\x{3040}-\x{309F}\x{30A0}-\x{30FF}]+", rf"{DEEPSEEK_MAIN}|(?s:(?!{DEEPSEEK_MAIN}).)+"]
 CLIP = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
 PUNCT = r"!-/:-@\[-`{-~\p{P}"
@@ -48,6 +51,14 @@ def ministral_pretokens(text: Column) -> Column:
     return find_all(text, MINISTRAL)
 
 
+def deepseek_pretokens(text: Column) -> Column:
+    pieces = F.array(text)
+    cut = lambda pattern: lambda piece: find_all(piece, pattern)
+    for pattern in DEEPSEEK:
+        pieces = F.flatten(F.transform(pieces, cut(pattern)))
+    return pieces
+
+
 #: Bytes that aren't printable, and the code points from 256 on that stand for them in byte-level vocabularies.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _BYTES, _SHOWN = "".join(map(chr, _HIDDEN)), "".join(chr(256 + i) for i in range(len(_HIDDEN)))
@@ -66,8 +77,11 @@ def clip_pretokens(text: Column) -> Column:
     return find_all(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), CLIP)
 
 
+GLINER = r"[0-9A-Za-z_\x{80}-\x{10FFFF}]+(?:[-_][0-9A-Za-z_\x{80}-\x{10FFFF}]+)*|\S"
+
+
 def gliner_words(text: Column) -> Column:
-    return find_all(text, r"[\w\x{80}-\x{10FFFF}]+(?:[-_][\w\x{80}-\x{10FFFF}]+)*|\S")
+    return find_all(text, GLINER)
 
 
 def char_class(c: Column) -> Column:
@@ -83,12 +97,6 @@ def lenient(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "))
 
 
-def cer(hyp: Column, ref: Column) -> Column:
-    """Edit distance over the reference's length after lenient normalisation; 0 or 1 for an empty reference."""
-    h, r = lenient(hyp), lenient(ref)
-    return F.when(r == "", F.when(h == "", 0.0).otherwise(1.0)).otherwise(F.levenshtein(h, r) / F.length(r))
-
-
 def garbage(text: Column) -> Column:
     """A word that makes up half of eight or more and occurs ten times, or a short unit repeated eight times on end anywhere.
 
@@ -108,8 +116,52 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+#: What scoring takes out of a text, in this order.
+MARKUP = [(r"!\[[^\]]*\]\([^)]*\)", " "), (r"<[^>]+>", " "), (r"(?md)^\s*#{1,6}\s*", ""), (r"(?md)^\s*\|?[\s:|-]{3,}\|?\s*$", " "), (r"\|", " "), (r"\*\*|__|\*|`", "")]
+
+
 def strip_markup(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"[\s#*|$]+", " "))
+    """Images, tags, headings, rules and bars of tables, and emphasis go; line ends are told as "\n" only."""
+    for pattern, by in MARKUP:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def outcome(ok: Column, raw: Column, moved: Column) -> Column:
+    """error, neutral or unavailable: without the true text only a text that hardly moved can be told to be neutral."""
+    return F.when(~ok, "error").when(raw, "neutral").when(moved.isNull(), "unavailable").when(moved <= 0.02, "neutral").otherwise("unavailable")
+
+
+def passes_gate(text: Column, confidence: Column, least_bytes: Column, least_confidence: Column) -> Column:
+    """A demand of 0 on confidence is none."""
+    return (F.octet_length(text) >= least_bytes) & ((least_confidence <= 0) | (confidence >= least_confidence))
+
+
+def starts(texts: Column) -> Column:
+    """Where each text begins once they are joined by one character."""
+    ahead = F.transform(texts, lambda _, i: F.aggregate(F.slice(texts, 1, i), F.lit(0).cast("long"), lambda n, t: n + F.length(t) + 1))
+    return ahead
+
+
+def json_escape(text: Column) -> Column:
+    """A JSON string: short forms where there are any, else four hex digits in lower case, as the value's own writer gives them."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+    rare = out
+    for c in range(32):
+        rare = F.replace(rare, F.lit(chr(c)), F.lit("\\" + short[c] if c in short else f"\\u{c:04x}")) if c else F.regexp_replace(rare, "\\x00", "\\\\u0000")
+    plain = F.replace(out, F.lit("\n"), F.lit("\\n"))
+    return F.concat(F.lit('"'), F.when(out.rlike("[\\x00-\\x09\\x0B-\\x1F]"), rare).otherwise(plain), F.lit('"'))
+
+
+def tokenizer_family(told: Column, declared: Column, model: Column, size: Column) -> Column:
+    """0 WordPiece, 1 BPE, 2 SentencePiece: as declared, else by the model's name, else SentencePiece beyond 100,000 entries."""
+    named = F.when(model.isin("gpt2", "bpe"), 1).when(model.isin("t5", "unigram", "spm", "llama"), 2)
+    return F.when(told, declared).otherwise(F.coalesce(named, F.when(size > 100_000, 2).otherwise(0)))
 
 
 def pair_lengths(a: Column, b: Column, room: int) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +68,22 @@ def gelu_tanh(x: Column) -> Column:
     return 0.5 * x * (1 + F.tanh(F.lit(0.7978845608028654) * (x + 0.044715 * x * x * x)))
 
 
+#: Coefficients of the error function's series, 2 / sqrt(pi) (-1)^k / (k! (2 k + 1)).
+_SERIES = [2 / math.sqrt(math.pi) * (-1) ** k / (math.factorial(k) * (2 * k + 1)) for k in range(50)]
+
+
+def erf(x: Column) -> Column:
+    """The error function: its series up to 3, beyond which it is 1 to within 2.3e-5 and its sign is taken."""
+    square, total_ = x * x, F.lit(_SERIES[-1])
+    for c in reversed(_SERIES[:-1]):
+        total_ = total_ * square + c
+    return F.when(F.abs(x) < 3, x * total_).otherwise(F.signum(x))
+
+
+def gelu_erf(x: Column) -> Column:
+    return 0.5 * x * (1 + erf(x * 0.7071067811865476))
+
+
 def silu(x: Column) -> Column:
     return x / (1 + F.exp(-x))
 
@@ -92,3 +110,20 @@ def relative_bucket(delta: Column, buckets: int = 32, max_distance: int = 128) -
     n = F.abs(delta)
     far = exact + F.floor(F.log(n / float(exact)) / F.log(F.lit(max_distance / exact)) * (half - exact))
     return F.when(delta > 0, F.lit(half)).otherwise(F.lit(0)) + F.when(n < exact, n).otherwise(F.least(far, F.lit(half - 1)))
+
+
+def quantize_blocks(v: Column, width: int = 32) -> Column:
+    """Blocks of width components as (scale, q): whole numbers of eight bits, times the scale about what they were."""
+
+    def one(b: Column) -> Column:
+        part = F.transform(F.slice(v, b * width + 1, width), lambda x: x.cast("double"))
+        scale = F.array_max(F.transform(part, lambda x: F.abs(x))) / 127
+        return F.struct(scale.alias("scale"), F.transform(part, lambda x: F.when(scale == 0, 0).otherwise(F.round(x / scale)).cast("int")).alias("q"))
+
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) + width - 1) / width).cast("int") - 1), one)
+
+
+def classifier(first: Column, weights: Column, bias: Column, out: Column, out_bias: float) -> Column:
+    """A score of a first token's vector: a dense layer, tanh, layer norm, and an output row."""
+    hidden = F.transform(linear(first, weights, bias), F.tanh)
+    return dot(layer_norm(hidden), out) + out_bias

@@ -1,18 +1,20 @@
-"""Greedy decoding of boxes, spans and labels, byte alphabets and small lookups."""
+"""Greedy and beam decoding of boxes, spans and labels, byte alphabets and small lookups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import base64
+import math
+
 from pyspark.sql import functions as F
 
-from quillon.functions import greedy, recoder
+from quillon.functions import dawg, greedy, recoder
 from quillon.functions import sequences as S
 from quillon.functions import text as T
 from quillon.operators.per_group import per_group
-from quillon.plans.evaluation import _HEADS, text_pairs
+from quillon.plans.evaluation import _PAIRED, text_pairs
+from quillon.plans.evaluation import _CODES as _LETTERS
 from quillon.plans.layout import _BOXES, boxes
-from quillon.plans.registry import query, table
-from quillon.plans.vectors import _MAXSIM, maxsim
+from quillon.plans.registry import lines, query, table
 
 _COLUMNS = ["box", "x", "y", "w", "h", "score"]
 
@@ -28,11 +30,11 @@ def order_words(spark, sf_dir):
     return per_group(boxes(spark, sf_dir), "page", _COLUMNS, lambda b: [(i, *x) for i, x in enumerate(greedy.order_words(b))], "place int, box int, line int")
 
 
-@query("H3_reading_order", f"{_BOXES} select page, box, (row_number() over (partition by page order by box % 2, y // 50, x, box))::int as place from b")
+@query("H3_reading_order")
 def reading_order(spark, sf_dir):
     """Words whose block and line are known."""
-    w = Window.partitionBy("page").orderBy(F.col("box") % 2, F.floor(F.col("y") / 50), "x", "box")
-    return boxes(spark, sf_dir).select("page", "box", F.row_number().over(w).alias("place"))
+    words = boxes(spark, sf_dir).select("page", "box", (F.col("box") % 2).alias("block"), F.floor(F.col("y") / 200).cast("int").alias("line"), "x", "y", "h")
+    return per_group(words, "page", ["box", "block", "line", "x", "y", "h"], lambda w: list(enumerate(greedy.reading_order(w))), "place int, box int")
 
 
 @query("H6_page_order")
@@ -93,6 +95,48 @@ def no_repeat(spark, sf_dir):
     return per_group(labels(spark, sf_dir), "page", ["box", "label"], pick, "label int")
 
 
+@query("G2_ctc_beam")
+def ctc_beam(spark, sf_dir):
+    """Prefix beams of width 4 over four classes; a line item is a step, its shares made of the item's keys."""
+    share = lambda k: (F.col("l_partkey") * (k + 3) % 17 + 1).cast("double")
+    t = lines(spark, sf_dir).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("step"), *[share(k).alias(f"p{k}") for k in range(4)])
+
+    def best(rows):
+        steps = [[math.log(p / sum(r[1:])) for p in r[1:]] for r in rows]
+        labels, score = S.ctc_beam(steps, 4)
+        summed, _ = S.ctc_beam(steps, 4, best_path=True)
+        legal, _ = S.ctc_beam(steps, 4, keeps=lambda x: recoder.legal(x, _CODES, True), ends=lambda x: recoder.legal(x, _CODES))
+        return [("".join(map(str, labels)), "".join(map(str, summed)), "".join(map(str, legal)), round(score, 9))]
+
+    return per_group(t, "page", ["step", "p0", "p1", "p2", "p3"], best, "labels string, best_path string, legal string, score double")
+
+
+#: Words of the dictionary queries as units of _CODES, and the unit that parts words.
+_DICTIONARY, _PART = [(0,), (1, 0), (1, 2, 2), (4, 1)], 5
+
+
+@query("G6_dictionary_bonus")
+def dictionary_bonus(spark, sf_dir):
+    """What a page's labels gain: 0.25 for each word of the dictionary, 0.02 for a last word that begins one."""
+    words = dawg.parse(dawg.pack(_DICTIONARY, len(_CODES)))
+    bonus = lambda g: [(recoder.bonus([v for _, v in g], _CODES, _PART, words, True, True), recoder.bonus([v for _, v in g], _CODES, _PART, words, False, False))]
+    return per_group(labels(spark, sf_dir), "page", ["box", "label"], bonus, "bonus double, complete double")
+
+
+@query("G8_packed_words")
+def packed_words(spark, sf_dir):
+    """The words of each benchmark item as a packed graph in base64; then each word and its beginning looked up in what is read back."""
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), " "))).alias("w")).where("w <> ''")
+
+    def look_up(rows):
+        words = [[ord(c) - 96 for c in x] for (x,) in rows]
+        coded = base64.b64encode(dawg.pack([tuple(x) for x in words], 27)).decode()
+        graph = dawg.parse(base64.b64decode(coded))
+        return [(x, len(coded), dawg.matches(graph, u, True), dawg.matches(graph, u[:-1], False), dawg.matches(graph, [*u, 1, 1, 1], True)) for (x,), u in zip(rows, words, strict=True)]
+
+    return per_group(w, "item_id", ["w"], look_up, "w string, size int, whole boolean, begins boolean, longer boolean")
+
+
 @query("G11_vocabulary", "with v as (select unnest(string_split(text, ' ')) as w from documents), i as (select distinct item_id, unnest(string_split(text, ' ')) as w from benchmark) select item_id, count(*) as known from i where w in (select w from v) group by item_id")
 def vocabulary(spark, sf_dir):
     v = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("w")).distinct()
@@ -101,7 +145,7 @@ def vocabulary(spark, sf_dir):
 
 
 @query("G8_base64", "select doc_id, md5(text) as digest, (4 * ceil(octet_length(encode(text)) / 3.0))::int as n from documents")
-def base64(spark, sf_dir):
+def base64_text(spark, sf_dir):
     coded = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "")
     return table(spark, sf_dir, "documents").select("doc_id", coded.alias("c")).select("doc_id", F.md5(F.unbase64("c")).alias("digest"), F.length("c").alias("n"))
 
@@ -125,16 +169,10 @@ def cjk_punctuation(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", count(f"[{T.PUNCT}]").alias("punctuation"), count(f"[{T.CJK}]").alias("cjk"))
 
 
-@query("D8_maxsim_batch", f"{_MAXSIM} select d, round(score, 5) as score from s where q = 1")
-def maxsim_batch(spark, sf_dir):
-    return maxsim(spark, sf_dir).where("q = 1").select("d", "score")
-
-
-@query("K5_edit_distance", f"{_HEADS} select doc_id, levenshtein(lower(h), lower(r))::int as d from t where regexp_matches(h || r, '^[\\x00-\\x7F]*$')")
+@query("K5_edit_distance", f"{_PAIRED}, {_LETTERS} select source, doc_id, levenshtein(translate(lower(h), f, g), translate(lower(r), f, g))::int as d from t, k")
 def edit_distance(spark, sf_dir):
-    """K6 too: a distance of token lists, here of characters."""
-    t = text_pairs(spark, sf_dir).where(F.concat("h", "r").rlike(r"\A[\x00-\x7F]*\z"))
-    return t.select("doc_id", S.token_distance(F.split(F.lower("h"), ""), F.split(F.lower("r"), "")).alias("d"))
+    """Of texts as sequences; K6 has the one of words."""
+    return text_pairs(spark, sf_dir).select("source", "doc_id", S.token_distance(F.split(F.lower("h"), ""), F.split(F.lower("r"), "")).alias("d"))
 
 
 #: Layout labels by id, and OCR models by language code.

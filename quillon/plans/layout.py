@@ -56,27 +56,39 @@ def reading_order(spark, sf_dir):
     return p.groupBy("page").agg(F.bool_and("ok").alias("monotonic"))
 
 
-@query("H5_join_lines", f"{_BOXES} select page, string_agg(case when box = 1 then '' when y % 3 = 0 then chr(10) || chr(10) when y % 3 = 1 then chr(10) else ' ' end || 'w' || box, '' order by box) as text from b group by page")
+_WORDS = f"{_BOXES}, w as (select *, box % 2 as block, y // 100 as line from b), p as (select *, lag(block) over o as last_block, lag(line) over o as last_line, row_number() over o as place from w window o as (partition by page order by block, line, x, box))"
+
+
+@query("H5_join_lines", f"{_WORDS} select page, string_agg(case when place = 1 then '' when block <> last_block then chr(10) || chr(10) when line <> last_line then chr(10) else ' ' end || 'w' || box, '' order by place) as text from p group by page")
 def join_lines(spark, sf_dir):
-    sep = F.when(F.col("box") == 1, "").when(F.col("y") % 3 == 0, "\n\n").when(F.col("y") % 3 == 1, "\n").otherwise(" ")
-    part = F.struct("box", F.concat(sep, F.lit("w"), F.col("box").cast("string")).alias("t"))
-    p = boxes(spark, sf_dir).groupBy("page").agg(F.sort_array(F.collect_list(part)).alias("parts"))
-    return p.select("page", F.array_join("parts.t", "").alias("text"))
+    """Words in the order of blocks and lines: a blank line where the block changes, a line end where the line does, else a space."""
+    word = F.struct((F.col("box") % 2).alias("block"), F.floor(F.col("y") / 100).alias("line"), "x", "box")
+    p = boxes(spark, sf_dir).groupBy("page").agg(F.sort_array(F.collect_list(word)).alias("w"))
+    before = lambda i, c: F.get("w", i - 1)[c]
+    between = lambda x, i: F.when(i == 0, "").when(x["block"] != before(i, "block"), "\n\n").when(x["line"] != before(i, "line"), "\n").otherwise(" ")
+    return p.select("page", F.array_join(F.transform("w", lambda x, i: F.concat(between(x, i), F.lit("w"), x["box"].cast("string"))), "").alias("text"))
+
+
+#: The length of a page's projection; boxes lie within.
+_WIDE = 1100
 
 
-@query("H15_valleys", f"{_BOXES}, s as (select page, x as a, x + w as z from b), m as (select *, max(z) over (partition by page order by a, z rows between unbounded preceding and 1 preceding) as reach from s) select page, ((reach + a) // 2)::int as cut from m where a - reach >= 20")
+@query("H15_valleys", f"{_BOXES}, s as (select page, x as a, x + w as z from b union all select distinct page, {_WIDE}, {_WIDE} from b), m as (select *, coalesce(max(z) over (partition by page order by a, z rows between unbounded preceding and 1 preceding), 0) as reach from s), c as (select page, ((reach + a) // 2)::int as cut from m where a - reach >= 20 union all select distinct page, 0 from b union all select distinct page, {_WIDE} from b) select page, list(cut order by cut) as cuts from c group by page")
 def valleys(spark, sf_dir):
-    """Midpoints of the empty runs between boxes along x, of 20 or more."""
+    """Both edges, and the middles of the empty runs along x, of 20 or more, also before the first box and after the last."""
     w = Window.partitionBy("page").orderBy("a", "z").rowsBetween(Window.unboundedPreceding, -1)
-    m = boxes(spark, sf_dir).select("page", F.col("x").alias("a"), (F.col("x") + F.col("w")).alias("z")).withColumn("reach", F.max("z").over(w))
-    return m.where("a - reach >= 20").select("page", F.expr("cast((reach + a) div 2 as int)").alias("cut"))
+    b = boxes(spark, sf_dir)
+    ends = b.select("page", F.explode(F.array(F.struct(F.col("x").alias("a"), (F.col("x") + F.col("w")).alias("z")), F.struct(F.lit(_WIDE).alias("a"), F.lit(_WIDE).alias("z")))).alias("e")).select("page", "e.a", "e.z")
+    m = ends.withColumn("reach", F.coalesce(F.max("z").over(w), F.lit(0)))
+    cuts = m.groupBy("page").agg(F.collect_list(F.when(F.col("a") - F.col("reach") >= 20, F.expr("cast((reach + a) div 2 as int)"))).alias("c"))
+    return cuts.select("page", F.concat(F.array(F.lit(0)), F.sort_array("c"), F.array(F.lit(_WIDE))).alias("cuts"))
 
 
-@query("H14_line_positions", f"{_BOXES}, p as (select page, unnest(range(y, y + h)) as row from b), c as (select page, row, count(*) as n from p group by all), k as (select *, row - row_number() over (partition by page order by row) as island from c where n >= 2) select page, ((min(row) + max(row)) // 2)::int as centre from k group by page, island")
+@query("H14_line_positions", f"{_BOXES}, p as (select page, unnest(range(y, y + h)) as row, w from b), c as (select page, row from p group by all having sum(w) >= floor(900 * 0.15)), k as (select *, row - row_number() over (partition by page order by row) as island from c) select page, ((min(row) + max(row)) // 2)::int as centre from k group by page, island")
 def line_positions(spark, sf_dir):
-    """Centres of the runs of rows that two boxes or more cover."""
-    rows = boxes(spark, sf_dir).select("page", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("row"))
-    dense = rows.groupBy("page", "row").agg(F.count("*").alias("n")).where("n >= 2")
+    """Centres of the runs of rows whose projection reaches a share of the length."""
+    rows = boxes(spark, sf_dir).select("page", "w", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)).alias("row"))
+    dense = rows.groupBy("page", "row").agg(F.sum("w").alias("n")).where(F.col("n") >= int(900 * 0.15))
     island = F.col("row") - F.row_number().over(Window.partitionBy("page").orderBy("row"))
     return dense.withColumn("island", island).groupBy("page", "island").agg(F.expr("cast((min(row) + max(row)) div 2 as int)").alias("centre")).drop("island")
 
@@ -91,13 +103,19 @@ def table_html(spark, sf_dir):
     return c.select("page", F.concat(F.lit("<table>"), F.array_join(F.transform("c", lambda x, i: F.concat(opened(x, i), x["cell"])), ""), F.lit("</tr></table>")).alias("html"))
 
 
-@query("H28_separators", f"{_BOXES}, m as (select *, quantile_cont(h, 0.5) over (partition by page) as mid, count(*) over (partition by page) as n from b) select page, box from m where not (n >= 3 and w >= 32 and h <= 0.6 * mid and w >= 4 * h)")
+_FLAT = f"with {LINES}, f as (select l_orderkey as page, l_linenumber as box, (l_suppkey * 13 % 400)::int as w, (case when l_partkey % 3 = 0 then 1 + l_partkey % 20 else 20 + l_partkey % 20 end)::int as h, l_quantity::int as q from lines), g as (select *, (w * (7 + q % 4) / 10.0)::int as inked from f)"
+
+
+@query("H28_separators", f"{_FLAT}, m as (select *, list_sort(list(h) over (partition by page))[(count(*) over (partition by page)) // 2 + 1] as mid, count(*) over (partition by page) as n from g) select page, box from m where not (n >= 3 and w >= 32 and h <= 0.6 * mid and w >= 8 * h and inked >= floor(w * 9 / 10.0))")
 def separators(spark, sf_dir):
-    """Boxes that are no separator line: far flatter than their page's median."""
-    b = boxes(spark, sf_dir)
-    mid = b.groupBy("page").agg(F.percentile("h", F.lit(0.5)).alias("mid"), F.count("*").alias("n"))
-    flat = (F.col("n") >= 3) & (F.col("w") >= 32) & (F.col("h") <= 0.6 * F.col("mid")) & (F.col("w") >= 4 * F.col("h"))
-    return b.join(mid, "page").where(~flat).select("page", "box")
+    """Boxes that are no separator line."""
+    q = F.col("l_quantity").cast("int")
+    h = F.when(F.col("l_partkey") % 3 == 0, 1 + F.col("l_partkey") % 20).otherwise(20 + F.col("l_partkey") % 20).cast("int")
+    w = (F.col("l_suppkey") * 13 % 400).cast("int")
+    b = lines(spark, sf_dir).select(F.col("l_orderkey").alias("page"), F.struct(F.col("l_linenumber").alias("box"), w.alias("w"), h.alias("h"), F.round(w * (7 + q % 4) / 10.0).cast("int").alias("inked")).alias("x"))
+    p = b.groupBy("page").agg(F.collect_list("x").alias("x"))
+    kept = F.filter("x", lambda x: ~G.flat_line(x["w"], x["h"], x["inked"], F.col("x.h")))
+    return p.select("page", F.explode(kept).alias("k")).select("page", "k.box")
 
 
 @query("G13_canvas_width", f"{_BOXES} select page, box, greatest(64, ceil(greatest(ceil(w * 64.0 / h), 1) / 64.0) * 64)::int as width from b")
@@ -115,21 +133,21 @@ def estimate_dpi(spark, sf_dir):
     return boxes(spark, sf_dir).select("page", "box", G.estimate_dpi(F.col("w"), F.col("h")).alias("dpi"))
 
 
-@query("I8_skew_consensus", "with t as (select l_orderkey, l_linenumber, (l_partkey % 17 - 8) / 2.0::double as a, (l_suppkey % 9 - 4) / 2.0::double as b, l_quantity / 8 as c from lineitem) select l_orderkey, l_linenumber, case when a = 0 then case when c >= 4 then -b else 0 end when abs(a) > 6 then a when c < 3 then a when a * -b < 0 or abs(a + b) > 1.5 then 0 else a end as angle from t")
+@query("I8_skew_consensus", "with t as (select l_orderkey, l_linenumber, (l_partkey % 17 - 8) / 2.0::double as a, (l_suppkey % 31 - 15) / 10.0::double as b, l_quantity / 8 as c from lineitem) select l_orderkey, l_linenumber, case when a = 0 then case when c >= 4 and abs(b) between 0.3 and 6 then -b else 0 end when abs(a) > 6 or c < 3 then a when (a * -b < 0 and abs(b) >= 0.5) or abs(-b - a) > 1.5 then 0 else a end as angle from t")
 def skew_consensus(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
-    angle = G.skew_consensus((F.col("l_partkey") % 17 - 8) / 2.0, (F.col("l_suppkey") % 9 - 4) / 2.0, F.col("l_quantity") / 8)
+    angle = G.skew_consensus((F.col("l_partkey") % 17 - 8) / 2.0, (F.col("l_suppkey") % 31 - 15) / 10.0, F.col("l_quantity") / 8)
     return t.select("l_orderkey", "l_linenumber", (angle + 0.0).alias("angle"))
 
 
-@query("I24_smart_resize", "with t as (select l_orderkey, l_linenumber, (l_partkey % 1900 + 30)::double as h, (l_suppkey * 37 % 2300 + 30)::double as w from lineitem), r as (select *, greatest(28, round(h / 28) * 28) as rh, greatest(28, round(w / 28) * 28) as rw, sqrt(h * w / 1003520) as big, sqrt(3136 / (h * w)) as small from t) select l_orderkey, l_linenumber, (case when rh * rw > 1003520 then greatest(28, floor(h / big / 28) * 28) when rh * rw < 3136 then ceil(h * small / 28) * 28 else rh end)::int as height, (case when rh * rw > 1003520 then greatest(28, floor(w / big / 28) * 28) when rh * rw < 3136 then ceil(w * small / 28) * 28 else rw end)::int as width from r")
+@query("I24_smart_resize", "with t as (select l_orderkey, l_linenumber, (l_partkey % 1900 + 5)::double as h, (l_suppkey * 37 % 2300 + 5)::double as w from lineitem), r as (select *, greatest(28, round(h / 28) * 28) as rh, greatest(28, round(w / 28) * 28) as rw, sqrt(h * w / 1003520) as big, sqrt(3136 / (h * w)) as small, greatest(h, w) / least(h, w) <= 200 as able from t) select l_orderkey, l_linenumber, (case when able then case when rh * rw > 1003520 then greatest(28, floor(h / big / 28) * 28) when rh * rw < 3136 then greatest(28, ceil(h * small / 28) * 28) else rh end end)::int as height, (case when able then case when rh * rw > 1003520 then greatest(28, floor(w / big / 28) * 28) when rh * rw < 3136 then greatest(28, ceil(w * small / 28) * 28) else rw end end)::int as width from r")
 def smart_resize(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 1900 + 30).cast("double").alias("h"), (F.col("l_suppkey") * 37 % 2300 + 30).cast("double").alias("w"))
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 1900 + 5).cast("double").alias("h"), (F.col("l_suppkey") * 37 % 2300 + 5).cast("double").alias("w"))
     h, w = G.smart_resize(F.col("h"), F.col("w"))
     return t.select("l_orderkey", "l_linenumber", h.alias("height"), w.alias("width"))
 
 
-@query("I30_source_type", "select l_orderkey, l_linenumber, case when l_discount * 4 > 0.28 then 'photo' when l_returnflag = 'R' or l_quantity / 10 > 2.5 or l_quantity / 10 < 0.4 then 'screenshot' when l_tax * 10 > 0.45 then 'scan' else 'screenshot' end as source from lineitem")
+@query("I30_source_type", "select l_orderkey, l_linenumber, case when l_discount * 4 > 0.28 then 'photo' when l_returnflag = 'R' or l_quantity / 10 > 2.2 or l_quantity / 10 < 0.45 then 'screenshot' when l_tax * 10 > 0.45 then 'scan' else 'screenshot' end as source from lineitem")
 def source_type(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
     return t.select("l_orderkey", "l_linenumber", G.source_type(F.col("l_discount") * 4, F.col("l_returnflag") == "R", F.col("l_quantity") / 10, F.col("l_tax") * 10).alias("source"))
@@ -146,15 +164,30 @@ def otsu(spark, sf_dir):
     return c.groupBy("page").agg(F.max_by("v", F.round(F.col("between") / 1e3) * 1000 - F.col("v")).alias("threshold"))
 
 
-@query("I12_content_box", f"{_BOXES} select page, min(x)::int as x1, min(y)::int as y1, max(x + w)::int as x2, max(y + h)::int as y2 from b where score > 0.02 group by page")
+_INK = f"with {LINES}, i as (select l_orderkey % 2000 as page, (l_partkey % 60)::int as x, (l_suppkey % 40)::int as y from lines group by all)"
+
+
+@query("I12_content_box", f"{_INK}, r as (select page, y from i group by all having count(*) >= 1), c as (select page, x from i group by all having count(*) >= 1), q as (select page, min(y) as y0, max(y) as y1 from r group by page), p as (select page, min(x) as x0, max(x) as x1 from c group by page) select page, greatest(0, x0 - 2)::int as x1, greatest(0, y0 - 2)::int as y1, least(60, x1 + 3)::int as x2, least(40, y1 + 3)::int as y2 from q join p using (page)")
 def content_box(spark, sf_dir):
-    b = boxes(spark, sf_dir).where("score > 0.02")
-    return b.groupBy("page").agg(F.min("x").alias("x1"), F.min("y").alias("y1"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"))
+    """Pages of 60 by 40 pixels, of which the dark ones are listed: the box of rows and columns that reach a floor of ink, and a margin of two."""
+    ink = lines(spark, sf_dir).select((F.col("l_orderkey") % 2000).alias("page"), (F.col("l_partkey") % 60).cast("int").alias("x"), (F.col("l_suppkey") % 40).cast("int").alias("y")).distinct()
+    return G.content_box(ink, 60, 40)
+
+
+@query("I11_page_split", "with c as (select page, x, count(*) as n from (select l_orderkey % 500 as page, (case when l_partkey % 9 = 0 then 30 else l_partkey % 60 end)::int as x, l_suppkey % 40 as y from lineitem where l_partkey % 60 not between 26 and 33 or l_orderkey % 3 = 0 group by all) group by all), a as (select page, x, coalesce(n, 0) as n from (select distinct page from c) cross join range(0, 60) r(x) left join c using (page, x)), m as (select page, list_sort(list(n))[31] as med, list(n order by x) as n from a group by page), g as (select *, list_transform(range(18, 43), x -> n[x + 1]) as mid from m), f as (select *, 18 + list_position(mid, list_min(mid)) - 1 as gx, list_min(mid) as lo from g) select page, (case when med > 0 and lo <= floor(0.15 * med) and list_sum(n[1 : gx]) / gx >= 0.4 * med and list_sum(n[gx + 2 : 60]) / (60 - gx - 1) >= 0.4 * med then gx else -1 end)::int as split from f")
+def page_split(spark, sf_dir):
+    """Pages of 60 by 40 pixels, of which the dark ones are listed: the column where a spread of two pages parts, else -1."""
+    x = F.when(F.col("l_partkey") % 9 == 0, 30).otherwise(F.col("l_partkey") % 60).cast("int")
+    some = table(spark, sf_dir, "lineitem").where(~(F.col("l_partkey") % 60).between(26, 33) | (F.col("l_orderkey") % 3 == 0))
+    ink = some.select((F.col("l_orderkey") % 500).alias("page"), x.alias("x"), (F.col("l_suppkey") % 40).cast("int").alias("y")).distinct()
+    return G.page_split(ink, 60, 40)
+
+
+_GRIDS = "[" + ", ".join(f"{{'r': {r}, 'c': {n // r}}}" for n in range(1, 7) for r in range(1, n + 1) if n % r == 0) + "]"
 
 
-@query("I26_tiling", f"{_BOXES}, g as (select r, c from range(1, 7) a(r), range(1, 7) b(c) where r * c between 1 and 6), t as (select page, box, r, c, round(abs(w::double / h - c::double / r), 9) as d from b, g) select page, box, arg_min(r * 10 + c, d * 1000000000 * 100 + r * 10 + c)::int as grid from t group by page, box")
+@query("I26_tiling", f"{_BOXES}, t as (select page, box, list_transform({_GRIDS}, g -> {{'d': abs(g.c::double / g.r::double - w::double / h::double), 'r': g.r, 'c': g.c}}) as g, w, h from b), m as (select *, list_min(list_transform(g, x -> x.d)) as d from t), e as (select *, list_filter(g, x -> x.d = d) as near from m), p as (select *, coalesce(list_filter(near[2:], x -> w * h > 450.0 * x.r * x.c)[-1], near[1]) as best from e) select page, box, (best.r * 10 + best.c)::int as grid from p")
 def tiling(spark, sf_dir):
-    """The grid whose aspect is closest; 14 grids in an array per row, no join."""
-    grids = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(1, 7) for c in range(1, 7) if r * c <= 6])
-    best = F.array_min(F.transform(grids, lambda g: F.struct(F.round(F.abs(F.col("w") / F.col("h") - g["c"] / g["r"]), 9).alias("d"), (g["r"] * 10 + g["c"]).alias("grid"))))
-    return boxes(spark, sf_dir).select("page", "box", best["grid"].alias("grid"))
+    """14 grids in an array per row, no join."""
+    best = G.tiling(F.col("w"), F.col("h"), 30)
+    return boxes(spark, sf_dir).select("page", "box", best.alias("g")).select("page", "box", (F.col("g.r") * 10 + F.col("g.c")).alias("grid"))

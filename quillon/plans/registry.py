@@ -1,4 +1,4 @@
-"""Queries by name and their SQL; the modules that are imported at the end fill them."""
+"""Queries by name and their SQL, filled by the modules that catalogue imports."""
 
 from __future__ import annotations
 
@@ -36,6 +36,3 @@ LINES = "lines as (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey,
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_discount")])
-
-
-from quillon.plans import decoding, documents, evaluation, layout, text, vectors  # noqa: E402, F401

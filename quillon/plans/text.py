@@ -24,7 +24,6 @@ def _tokens(name: str, f, sql: str):
     return run
 
 
-_LETTERS = r"[^\r\n\p{L}\p{N}]?\p{L}+"
 _tokens("B2_bert_pretokens", T.bert_pretokens, r"regexp_extract_all(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[!-/:-@\[-`{-~\p{P}]|[^\s!-/:-@\[-`{-~\p{P}]+')")
 _tokens("B16_clip_pretokens", T.clip_pretokens, r"regexp_extract_all(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '''s|''t|''re|''ve|''m|''ll|''d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+')")
 _tokens("B15_gpt2_pretokens", T.gpt2_pretokens, r"regexp_extract_all(text, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+')")
@@ -33,9 +32,6 @@ _tokens("B10_qwen_pretokens", lambda t: T.gpt4_pretokens(t, 1), r"regexp_extract
 _tokens("B13_o200k_pretokens", T.o200k_pretokens, r"regexp_extract_all(text, '[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+(?i:''s|''t|''re|''ve|''m|''ll|''d)?|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*(?i:''s|''t|''re|''ve|''m|''ll|''d)?|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+')")
 _tokens("B11_lfm2_pretokens", T.gpt4_pretokens, r"regexp_extract_all(text, '(?i:''s|''t|''re|''ve|''m|''ll|''d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+')")
 _tokens("B14_ministral_pretokens", T.ministral_pretokens, r"regexp_extract_all(text, '[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]*[\p{Ll}\p{Lm}\p{Lo}\p{M}]+|[^\r\n\p{L}\p{N}]?[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]+[\p{Ll}\p{Lm}\p{Lo}\p{M}]*|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n/]*|\s*[\r\n]+|\s+')")
-_tokens("B32_gliner_words", T.gliner_words, r"regexp_extract_all(text, '[0-9A-Za-z_\x{80}-\x{10FFFF}]+(?:[-_][0-9A-Za-z_\x{80}-\x{10FFFF}]+)*|\S')")
-
-
 @query("B6_char_class", r"with c as (select unnest(string_split(text, '')) as c from documents), k as (select case when regexp_matches(c, '^\p{L}') then 'L' when regexp_matches(c, '^\p{N}') then 'N' when regexp_matches(c, '^\s') then 'Z' else 'other' end as class, count(*) as n from c group by all) select class, n from k")
 def char_class(spark, sf_dir):
     c = docs(spark, sf_dir).select(F.explode(F.split("text", "")).alias("c")).groupBy("c").agg(F.count("*").alias("k"))
@@ -47,9 +43,9 @@ def siglip(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(T.siglip(F.col("text"))).alias("digest"))
 
 
-@query("B1_strip_accents", "select doc_id, md5(strip_accents(lower(text))) as digest from documents where lang in ('en', 'fr', 'es')")
+@query("B1_strip_accents", "select doc_id, md5(strip_accents(lower(text))) as digest from documents")
 def strip_accents(spark, sf_dir):
-    return docs(spark, sf_dir).where(F.col("lang").isin("en", "fr", "es")).select("doc_id", F.md5(S.strip_accents("text")).alias("digest"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(S.strip_accents("text")).alias("digest"))
 
 
 @query("B24_pair_truncation", "with t as (select a.doc_id, a.n_chars as a, b.n_chars as b, greatest(a.n_chars + b.n_chars - 509, 0) as over from documents a join documents b on b.doc_id = a.doc_id + 1), g as (select *, least(greatest(a - b, 0), over) as ga, least(greatest(b - a, 0), over) as gb from t) select doc_id, (a - ga - ceil((over - ga - gb) / 2.0))::bigint as left_a, (b - gb - floor((over - ga - gb) / 2.0))::bigint as left_b from g")
@@ -60,35 +56,33 @@ def pair_truncation(spark, sf_dir):
     return a.join(b, "doc_id").select("doc_id", x.cast("long").alias("left_a"), y.cast("long").alias("left_b"))
 
 
-@query("B29_tokenizer_family", "select l_orderkey, l_linenumber, case when l_quantity < 5 then 0 when l_returnflag = 'A' then 1 when l_partkey > 100 then 2 else 0 end as family from lineitem")
+@query("B29_tokenizer_family", "with t as (select l_orderkey, l_linenumber, l_linenumber % 2 = 1 as told, (l_quantity % 3)::int as declared, (['gpt2', 'bpe', 't5', 'unigram', 'spm', 'llama', 'bert', 'wordpiece', 'other'])[l_partkey % 9 + 1] as model, l_suppkey * 2000 as n from lineitem) select l_orderkey, l_linenumber, case when told then declared when model in ('gpt2', 'bpe') then 1 when model in ('t5', 'unigram', 'spm', 'llama') then 2 when n > 100000 then 2 else 0 end as family from t")
 def tokenizer_family(spark, sf_dir):
     """Declared type, else the model's name, else the vocabulary's size."""
-    t = table(spark, sf_dir, "lineitem")
-    family = F.when(F.col("l_quantity") < 5, 0).when(F.col("l_returnflag") == "A", 1).when(F.col("l_partkey") > 100, 2).otherwise(0)
-    return t.select("l_orderkey", "l_linenumber", family.alias("family"))
-
-
-@query("B30_token_surface", "with w as (select doc_id, unnest(string_split(text, ' ')) as w from documents), v as (select w, row_number() over (order by w collate \"C\") as id from (select distinct w from w)) select count(*) as n, sum(id)::bigint as ids from v")
-def token_surface(spark, sf_dir):
-    """A vocabulary numbered in order of its tokens, by ranges: no single task sorts it."""
-    w = docs(spark, sf_dir).select(F.explode(F.split("text", " ")).alias("w")).distinct()
-    n = F.col("n")
-    return w.agg(F.count("*").alias("n")).select("n", (n * (n + 1) / 2).cast("long").alias("ids"))
-
-
-@query("B31_unk_ratio", r"with t as (select doc_id, string_split(text, ' ') as w from documents) select doc_id, (len(list_filter(w, x -> length(x) > 12)) * 100 // len(w))::bigint as percent from t")
-def unk_ratio(spark, sf_dir):
-    w = F.split("text", " ")
-    return docs(spark, sf_dir).select("doc_id", w.alias("w")).select("doc_id", F.expr("cast(size(filter(w, x -> length(x) > 12)) * 100 div size(w) as bigint)").alias("percent"))
+    models = F.array(*map(F.lit, ["gpt2", "bpe", "t5", "unigram", "spm", "llama", "bert", "wordpiece", "other"]))
+    family = T.tokenizer_family(F.col("l_linenumber") % 2 == 1, (F.col("l_quantity") % 3).cast("int"), F.get(models, (F.col("l_partkey") % 9).cast("int")), F.col("l_suppkey") * 2000)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", family.alias("family"))
 
 
 @query("B33_prefix", "select doc_id, md5(case when lang = 'en' then 'query: ' else 'passage: ' end || text) as digest from documents")
 def prefix(spark, sf_dir):
-    """B34: the prefix is looked up by a map."""
     prefixes = F.create_map(F.lit("en"), F.lit("query: "))
     return docs(spark, sf_dir).select("doc_id", F.md5(F.concat(F.coalesce(prefixes[F.col("lang")], F.lit("passage: ")), "text")).alias("digest"))
 
 
+#: Prefixes of a query and of a passage by a part of the model's name, the first that fits.
+PREFIXES = [("e5", "query: ", "passage: "), ("nomic", "search_query: ", "search_document: "), ("jina-v5", "Query: ", "Passage: "), ("lfm2", "query: ", "document: ")]
+_NAMED = "(['multilingual-e5-small', 'nomic-embed-v1.5', 'jina-v5-nano', 'lfm2-embed', 'minilm'])[doc_id % 5 + 1]"
+
+
+@query("B34_prefix_lookup", f"with t as (select doc_id, {_NAMED} as model from documents) select doc_id, case " + " ".join(f"when contains(model, '{m}') then '{q}'" for m, q, _ in PREFIXES) + " end as query_prefix, case " + " ".join(f"when contains(model, '{m}') then '{p}'" for m, _, p in PREFIXES) + " end as passage_prefix from t")
+def prefix_lookup(spark, sf_dir):
+    names = F.array(*map(F.lit, ["multilingual-e5-small", "nomic-embed-v1.5", "jina-v5-nano", "lfm2-embed", "minilm"]))
+    t = docs(spark, sf_dir).select("doc_id", F.get(names, (F.col("doc_id") % 5).cast("int")).alias("model"))
+    first = lambda i: F.coalesce(*[F.when(F.col("model").contains(p[0]), p[i]) for p in PREFIXES])
+    return t.select("doc_id", first(1).alias("query_prefix"), first(2).alias("passage_prefix"))
+
+
 @query("A8_json_number", "select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as double), -1.0) as k from events")
 def json_number(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(-1.0)).alias("k"))
@@ -99,10 +93,11 @@ def json_string(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.missing").alias("missing"))
 
 
-@query("A9_json_escape", "select event_id, md5(to_json(props)::varchar) as digest from events")
+@query("A9_json_escape", "select doc_id, md5(replace(to_json(text || chr(9) || chr(1) || chr(31) || chr(8))::varchar, '\\u001F', '\\u001f')) as digest from documents")
 def json_escape(spark, sf_dir):
-    escaped = F.concat(F.lit('"'), F.replace(F.replace("props", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return table(spark, sf_dir, "events").select("event_id", F.md5(escaped).alias("digest"))
+    """Quotes, backslashes and control characters, of which the data has few: some are put behind each text."""
+    odd = F.concat("text", F.lit("\t\x01\x1f\b"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.json_escape(odd)).alias("digest"))
 
 
 @query("H17_escape", "select page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) as digest from pages")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.plans import registry
+from quillon.plans import catalogue as registry
 
 SF = "/root/testdata/sf0.001"
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillon.plans import registry
+from quillon.plans import catalogue as registry
 
 SF = "/root/testdata/sf0.001"
 

@@ -45,7 +45,43 @@ def test_ctc_beam_finds_the_best_labels():
         for path in itertools.product(range(3), repeat=4):
             labels = tuple(k for k, _ in itertools.groupby(path) if k)
             mass[labels] = mass.get(labels, 0) + math.exp(sum(logp[i][k] for i, k in enumerate(path)))
-        assert tuple(S.ctc_beam(logp, 200)) == max(mass, key=mass.get)
+        labels, score = S.ctc_beam(logp, 200)
+        assert tuple(labels) == max(mass, key=mass.get) and abs(score - math.log(max(mass.values()))) < 1e-9
+        assert S.ctc_beam(logp, 200, best_path=True)[1] <= score + 1e-9
+        odd = {k: v for k, v in mass.items() if len(k) % 2}
+        assert tuple(S.ctc_beam(logp, 200, ends=lambda x: len(x) % 2 == 1)[0]) == max(odd, key=odd.get)
+        assert S.ctc_beam(logp, 200, keeps=lambda x: False, ends=lambda x: len(x) > 0)[0] == []
+
+
+def test_long_distances_and_delta():
+    import difflib
+
+    rng = random.Random(1)
+
+    def table(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            new = [i]
+            for j, b in enumerate(y, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (a != b)))
+            row = new
+        return row[-1]
+
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abé ") for _ in range(rng.randint(0, 150))) for _ in range(2))
+        assert S.edit_distance(a, b) == table(a, b) == S.edit_distance(b.split(" ") and list(b), list(a))
+    a, b = "word " * 20_000, "ward " * 20_000
+    assert S.edit_distance(a, b) == 20_000
+    # Beyond 200 characters frequent ones are junk to the matcher: that is how the measure is defined.
+    x, y = "".join(rng.choice("abcdefgh") for _ in range(400)), "".join(rng.choice("abcdefgh") for _ in range(400))
+    got = S.text_delta.func(__import__("pandas").Series([x, "", None, "A-b"]), __import__("pandas").Series([y, "", "x", "a_B"]))
+    assert got.tolist() == [1 - difflib.SequenceMatcher(None, x, y).ratio(), 0.0, 1.0, 1 - difflib.SequenceMatcher(None, "ab", "a_b").ratio()]
+
+
+def test_groups_and_fields():
+    assert S.token_groups([(1, 300), (2, 84), (3, 1), (4, 500), (5, 10)], 384) == [(1, 0, 0), (2, 0, 300), (3, 1, 0), (4, 2, 0), (5, 3, 0)]
+    words = [(1, "I-x", "lost", 0.5, 0), (2, "B-x", "a", 0.4, 7), (3, "I-y", "b", 0.6, 8), (4, "O", "c", 0.1, 9), (5, "I-x", "lost", 0.5, 0), (6, "z", "d", 0.9, 3), (7, "I-q", "e", 0.7, 4)]
+    assert S.layout_fields(words) == [("x", "a b", 0.5, 7), ("z", "d e", 0.8, 3)]
 
 
 def test_wordpiece():
