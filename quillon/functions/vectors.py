@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: within a function over an array, an expression is worked out for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0).cast("double"), lambda s, x: s + x)
 
@@ -22,8 +28,7 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """v over sqrt(max(sum of squares, 1e-12))."""
-    scale = F.sqrt(F.greatest(dot(v, v), F.lit(1e-12)))
-    return F.transform(v, lambda x: x.cast("double") / scale)
+    return bind(F.sqrt(F.greatest(dot(v, v), F.lit(1e-12))), lambda scale: F.transform(v, lambda x: x.cast("double") / scale))
 
 
 def truncate(v: Column, dim: int) -> Column:
@@ -38,9 +43,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(e, lambda x: x / total(e))
+    powers = bind(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x.cast("double") - top)))
+    return bind(powers, lambda e: bind(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def mean(v: Column) -> Column:
@@ -48,14 +52,12 @@ def mean(v: Column) -> Column:
 
 
 def layer_norm(v: Column, weight: float = 1.0, bias: float = 0.0, eps: float = 1e-5) -> Column:
-    m = mean(v)
-    var = mean(F.transform(v, lambda x: (x - m) * (x - m)))
-    return F.transform(v, lambda x: (x - m) / F.sqrt(var + eps) * weight + bias)
+    centred = bind(mean(v), lambda m: F.transform(v, lambda x: x.cast("double") - m))
+    return bind(centred, lambda c: bind(F.sqrt(dot(c, c) / F.size(c) + eps), lambda d: F.transform(c, lambda x: x / d * weight + bias)))
 
 
 def rms_norm(v: Column, weight: float = 1.0, eps: float = 1e-6) -> Column:
-    ms = dot(v, v) / F.size(v)
-    return F.transform(v, lambda x: x.cast("double") / F.sqrt(ms + eps) * weight)
+    return bind(F.sqrt(dot(v, v) / F.size(v) + eps), lambda d: F.transform(v, lambda x: x.cast("double") / d * weight))
 
 
 def linear(v: Column, rows: Column, bias: Column | None = None) -> Column:
@@ -116,9 +118,9 @@ def quantize_blocks(v: Column, width: int = 32) -> Column:
     """Blocks of width components as (scale, q): whole numbers of eight bits, times the scale about what they were."""
 
     def one(b: Column) -> Column:
+        whole = lambda part, scale: F.transform(part, lambda x: F.when(scale == 0, 0).otherwise(F.round(x / scale)).cast("int"))
         part = F.transform(F.slice(v, b * width + 1, width), lambda x: x.cast("double"))
-        scale = F.array_max(F.transform(part, lambda x: F.abs(x))) / 127
-        return F.struct(scale.alias("scale"), F.transform(part, lambda x: F.when(scale == 0, 0).otherwise(F.round(x / scale)).cast("int")).alias("q"))
+        return bind(part, lambda p: bind(F.array_max(F.transform(p, lambda x: F.abs(x))) / 127, lambda s: F.struct(s.alias("scale"), whole(p, s).alias("q"))))
 
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) + width - 1) / width).cast("int") - 1), one)
 

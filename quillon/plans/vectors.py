@@ -237,8 +237,8 @@ _ARM = "list_transform(embedding, x -> round(x::double / s) * s)"
 
 def arm(e: DataFrame) -> DataFrame:
     """Vectors and what eight bits keep of them: each component a multiple of the greatest over 127."""
-    e = e.withColumn("s", F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))) / 127)
-    return e.withColumn("other", F.transform("embedding", lambda x: F.round(x.cast("double") / F.col("s")) * F.col("s")))
+    step = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))) / 127
+    return e.withColumn("other", V.bind(step, lambda s: F.transform("embedding", lambda x: F.round(x.cast("double") / s) * s)))
 
 
 @query("K14_token_cosine", f"with e as (select *, list_max(list_transform(embedding, x -> abs(x::double))) / 127 as s from embeddings), a as (select label, {_D} as a, {_ARM} as b from e) select label, round(avg(list_dot_product(a, b) / ((sqrt(list_dot_product(a, a)) + 1e-12) * (sqrt(list_dot_product(b, b)) + 1e-12))), 6) as cosine, count(*) as n from a group by label")
