@@ -81,6 +81,16 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def lower_batches(spark: SparkSession) -> None:
+    """Bounds the batches of a lazy frame that passes whole rows through Python: it runs under the session's settings.
+
+    Larger settings than these are lowered and stay so; all such frames ask for the same.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of a bounded number of rows, whatever the session's settings: a lazy frame runs under its caller's."""
     for b in batches:

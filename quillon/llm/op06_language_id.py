@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillon.llm._common import slices, small_batches
+from quillon.llm._common import lower_batches, slices, small_batches
 
 SLOTS, ORDERS = 1 << 16, (1, 2, 3)
 #: Bounds of the training sample and of the landmarks, shared evenly by the languages.
@@ -169,6 +169,7 @@ def keep_identified(docs: DataFrame, min_score: float | None = None, train_docs:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     least = min_score if min_score is not None else model.floor if model else 0.0
     at = docs.columns.index("text")
+    lower_batches(docs.sparkSession)
 
     def run(batches):
         for b in slices(batches):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._common import BROADCAST_IDS, fresh, slices, stage
+from quillon.llm._common import BROADCAST_IDS, fresh, lower_batches, slices, stage
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Possessive forms of the base patterns: what follows a run never starts with its characters, so none gives back.
@@ -253,6 +253,7 @@ def sanitize(docs: DataFrame) -> DataFrame:
     rows, held = with_terms(docs)
     at = docs.columns.index("text")
     schema = docs.schema
+    lower_batches(docs.sparkSession)
 
     def run(batches):
         for b in slices(batches):

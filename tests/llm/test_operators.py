@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 from quillon.llm import op02_minhash as minhash
-from quillon.llm import op07_quality_rules as quality
 from quillon.llm import op10_license_scan as license_scan
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, kept boolean"
@@ -37,7 +36,7 @@ def run(df):
 
 def test_every_operator_takes_odd_and_empty_tables(docs, empty):
     n = docs.count()
-    for f in (quality.quality, license_scan.scan):
+    for f in (license_scan.scan,):
         assert f(docs).count() == n
         assert f(empty).count() == 0
     assert minhash.near_duplicates(docs).count() == n
@@ -99,18 +98,6 @@ def test_sketch_fills_every_coordinate_and_estimates():
     assert abs(agree - 900 / 1100) < 0.15
 
 
-def test_quality_counts_equal_brute_force(spark, docs):
-    rows = [r for r in run(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text"))]
-    got = {r["doc_id"]: r for r in run(quality.quality(docs))}
-    for r in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
-        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        seen = {x for x in windows if windows.count(x) > 1} if len(w) < 1000 else set(windows)
-        places = {i + j for i, x in enumerate(windows) if x in seen for j in range(3)}
-        g = got[r["doc_id"]]
-        assert (g["n_words"], g["word_chars"], g["n_repeat_words"]) == (len(w), sum(map(len, w)), len(places))
-
-
 def test_licences_and_bounds(spark):
     rows = [(0, "prose here.\nReleased under the MIT License.\nmore"), (1, "no licence at all"), (2, "licensed under the apache license, version 2.0")]
     got = {r["doc_id"]: r["license"] for r in run(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))}
