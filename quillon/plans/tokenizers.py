@@ -50,8 +50,8 @@ def unigram_pieces(spark, sf_dir) -> list[tuple[str, float]]:
     return pieces + [(p, round(-12.0 * (1 - n / total) / (1 + len(w) / 8), 6)) for w, n in words for p in (K.SPACE + w, w) if p not in held]
 
 
-def over_texts(frame: DataFrame, make, columns: str = "n int, digest string") -> DataFrame:
-    """frame's first column and what make()'s function tells of its other ones, row by row within bounded batches."""
+def over_texts(frame: DataFrame, make, columns: str = "n int, digest string", at_once: bool = False) -> DataFrame:
+    """frame's first column and what make()'s function tells of its other ones, row by row (or of lists of them at once) within bounded batches."""
     key, *rest = frame.columns
     kind = frame.schema[key].dataType.simpleString()
 
@@ -60,7 +60,8 @@ def over_texts(frame: DataFrame, make, columns: str = "n int, digest string") ->
         for big in batches:
             for i in range(0, big.num_rows, _ROWS):
                 b = big.slice(i, _ROWS)
-                out = [f(*values) for values in zip(*(b[c].to_pylist() for c in rest), strict=True)]
+                values = [b[c].to_pylist() for c in rest]
+                out = f(*values) if at_once else [f(*row) for row in zip(*values, strict=True)]
                 cols = list(zip(*out, strict=True)) if out else [[] for _ in schema.names[1:]]
                 yield pa.RecordBatch.from_arrays([b[key].cast(schema.field(0).type), *(pa.array(c, schema.field(j).type) for j, c in enumerate(cols, 1))], schema=schema)
 
@@ -149,16 +150,22 @@ def wordpiece_pair(spark, sf_dir):
     return over_texts(pairs(spark, sf_dir), make)
 
 
-def _sentencepieces(name: str, method: str, merging: bool, paired: bool = False, doc: str = ""):
+@lru_cache(maxsize=4)
+def sentencepieces_of(pieces: tuple, merging: bool) -> K.SentencePieces:
+    """One tokenizer and its cache for each worker process."""
+    return K.SentencePieces(pieces, merging)
+
+
+def _sentencepieces(name: str, method: str, merging: bool, doc: str = ""):
     @query(name)
     def run(spark, sf_dir):
-        pieces = unigram_pieces(spark, sf_dir)
+        pieces = tuple(unigram_pieces(spark, sf_dir))
 
         def make():
-            model = K.SentencePieces(pieces, merging)
-            return lambda *texts: digest(getattr(model, method)(*(K.normalize(t or "") for t in texts)))
+            f = getattr(sentencepieces_of(pieces, merging), method)
+            return lambda t: digest(f(K.normalize(t or "")))
 
-        return over_texts(pairs(spark, sf_dir) if paired else docs(spark, sf_dir), make)
+        return over_texts(docs(spark, sf_dir), make)
 
     run.__doc__ = doc
     return run
@@ -167,7 +174,34 @@ def _sentencepieces(name: str, method: str, merging: bool, paired: bool = False,
 _sentencepieces("B25_unigram", "pieces", False, doc="The greatest sum of scores.")
 _sentencepieces("B26_spm_merge", "pieces", True, doc="The best neighbours first.")
 _sentencepieces("B27_spm_encode", "encode", False, doc="With first and last id, at most 512.")
-_sentencepieces("B28_spm_pair", "encode_pair", False, True, doc="Two texts, the longer trimmed first.")
+
+
+@query("B28_spm_pair")
+def spm_pair(spark, sf_dir):
+    """Two texts, the longer trimmed first. Every text is encoded once and meets its neighbour as the ids that a pair can hold."""
+    pieces = tuple(unigram_pieces(spark, sf_dir))
+    model = K.SentencePieces(pieces)
+    room = model.max_length - 3
+
+    def told(model, texts):
+        return [(len(ids), ",".join(map(str, ids))) for ids in model.pieces_of([K.normalize(t or "") for t in texts], room)]
+
+    def make():
+        model = sentencepieces_of(pieces, False)
+        return lambda texts: told(model, texts)
+
+    # Keys of the right side are never null, so that no filter tells the two sides' shuffle apart: it is made once.
+    d = over_texts(docs(spark, sf_dir), make, "a int, ids string", at_once=True).withColumn("key", F.col("doc_id").cast("string")).repartition("key")
+    n, ids = told(model, [""])[0]  # beside the last document
+    other = d.select(F.coalesce((F.col("doc_id") - 1).cast("string"), F.lit("")).alias("key"), F.col("a").alias("b"), F.col("ids").alias("others"))
+    p = d.join(other, "key", "left").fillna({"b": n, "others": ids})
+    # fit_pair over the lengths
+    p = p.withColumn("over", F.expr(f"greatest(0, a + b - {room})"))
+    p = p.withColumns({"more_a": F.expr("least(greatest(0, a - b), over)"), "more_b": F.expr("least(greatest(0, b - a), over)")})
+    p = p.withColumn("rest", F.expr("over - more_a - more_b"))
+    p = p.withColumns({"x": F.expr("int(a - more_a - (rest + 1) div 2)"), "y": F.expr("int(b - more_b - rest div 2)")})
+    joined = F.expr(f"concat_ws(',', {model.first}, substring_index(ids, ',', x), {model.last}, substring_index(others, ',', y), {model.last})")
+    return p.select("doc_id", F.expr("x + y + 3").alias("n"), F.md5(joined).alias("digest"))
 
 
 @query("F2_token_offsets")
